@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("formats", "tokens")
+MODULES = ("arrivals", "formats", "tokens")
 
 
 def _of(name: str) -> dict:
