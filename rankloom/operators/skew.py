@@ -24,3 +24,11 @@ def join_to_unique(rows: DataFrame, unique: DataFrame, key: str, n: str, total:
     hot = F.broadcast(unique.filter(F.col(n) >= limit))
     cold = unique.filter(F.col(n) < limit)
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+#: Rows up to which a reference table is broadcast; a larger one is shuffled.
+REFERENCE_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = REFERENCE_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows that it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
