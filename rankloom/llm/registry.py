@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("arrivals", "formats", "tokens")
+MODULES = ("arrivals", "lookalike", "formats", "tokens")
 
 
 def _of(name: str) -> dict:
