@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..arrow import bound_batches
+from ..arrow import ready
 from ..operators.skew import REFERENCE_ROWS, broadcast_if_small, join_to_unique
 from ..scratch import keep
 from .automaton import Automaton, Trie
@@ -101,7 +101,7 @@ def match(texts: DataFrame, roster: DataFrame, name: str = "player_name", member
     Null and blank entries are no entries; of a name that is there twice the smallest id counts.
     """
     spark = texts.sparkSession
-    bound_batches(spark)
+    ready(spark)
     rows = roster.select(F.col(f"`{member}`").alias("m"), F.col(f"`{name}`").alias("n")).filter("m is not null and n is not null").limit(REFERENCE_ROWS + 1).collect()
     if len(rows) > REFERENCE_ROWS:
         raise ValueError(f"the reference list has more than {REFERENCE_ROWS} rows")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import ready
 from ..operators.skew import join_to_unique
 from ..scratch import keep
 
@@ -147,6 +148,7 @@ def split_repeats(df: DataFrame, payload: str = "payload", row_id: str = "raw_id
     The possible repeats, with every true one among them, are kept in the shared folder; the others are never shuffled.
     """
     spark = df.sparkSession
+    ready(spark)
     keyed = df.select(F.col(f"`{row_id}`").alias(row_id), record_key(F.col(f"`{payload}`")).alias("key")).filter("key is not null")
     total = df.count()
     bits = filter_bits(total)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..arrow import bound_batches
+from ..arrow import ready
 from .bpe import ByteBPE
 
 #: Where the vocabulary files of public tokenizers are.
@@ -39,7 +39,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
     A column that is already named ``out`` is replaced.
     """
     spark = df.sparkSession
-    bound_batches(spark)
+    ready(spark)
     columns = [c for c in (df.columns if keep is None else keep) if c != out]
     own = "__text__"
     given = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias(own))
