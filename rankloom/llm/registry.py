@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("arrivals", "lookalike", "canonical", "variants", "formats", "tokens", "subjects")
+MODULES = ("arrivals", "lookalike", "canonical", "variants", "formats", "tokens", "mixing", "subjects")
 
 
 def _of(name: str) -> dict:
