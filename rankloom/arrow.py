@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch handed to Python, so that a few thousand long texts don't come at once.
 BATCH_BYTES = 8 << 20
@@ -40,3 +40,10 @@ def ship(spark: SparkSession) -> None:
 def ready(spark: SparkSession) -> None:
     bound_batches(spark)
     ship(spark)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over enough partitions for every core, however few bytes it has: for rows that take long each."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
