@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..arrow import ready
+from ..arrow import ready, spread
 from ..operators.skew import REFERENCE_ROWS, broadcast_if_small, join_to_unique
 from ..scratch import keep
 from .automaton import Automaton, Trie
@@ -127,7 +127,7 @@ def to_members(entries: DataFrame, roster: DataFrame, name: str = "player_name")
     exact = broadcast_if_small(roster.select(F.col(f"`{name}`").alias("value")).distinct())
     other = given.join(exact, "value", "left_anti")
     counts = other.groupBy("value").agg(F.count("*").alias("n"))
-    found = keep(match(counts, roster, name), "meant")
+    found = keep(match(spread(counts, "value"), roster, name), "meant")
     return join_to_unique(other, found, "value", "n", entries.count()).select("entry_id", "cand_ord", "member_id")
 
 
