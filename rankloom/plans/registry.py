@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested",)
+MODULES = ("nested", "names")
 
 
 def _of(name: str) -> dict:
