@@ -10,9 +10,14 @@ so no pair is lost and no window grows with the history.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import ready
 from ..scratch import drop, keep, new_path
 
 #: Bits that near fingerprints may differ in. One key more is needed.
@@ -22,9 +27,11 @@ DIGEST = KEYS  # the key's number of the digest
 #: Fingerprints in a window before it is narrowed, and how often it may be narrowed.
 WINDOW, DEPTH = 256, 3
 #: Key ranges of a run, and runs before they are compacted.
-RANGES, RUNS = 16, 4
+RANGES, RUNS = 8, 4
+#: Open captures and links among them up to which one task settles the rest.
+SETTLED, SETTLED_LINKS = 20_000, 200_000
 #: Slices in which p1_found lets a table arrive.
-SLICES = 4
+SLICES = 3
 
 
 def digest(text: Column) -> Column:
@@ -227,8 +234,42 @@ class History:
             gone_f = near.join(first.select(F.col("fp").alias("to")).filter("to is not null").distinct(), "to", "left_semi").select("fp").distinct()
             rest = open_.join(gone_d, "digest", "left_anti").join(gone_f, "fp", "left_anti").join(first.select("node"), "node", "left_anti")
             open_ = keep(rest.select(*nodes.columns), "open")
-            if open_.isEmpty():
+            left = open_.limit(SETTLED + 1).count()
+            if left == 0:
                 return done
+            if left <= SETTLED:
+                fps = open_.select("fp").filter("fp is not null").distinct()
+                among = near.join(fps, "fp", "left_semi").join(fps.withColumnRenamed("fp", "to"), "to", "left_semi").filter("fp <> to")
+                among = keep(among.select("fp", "to"), "among")
+                if among.limit(SETTLED_LINKS + 1).count() <= SETTLED_LINKS:
+                    return done.unionByName(self._settle_few(open_, among))
+
+    @staticmethod
+    def _settle_few(nodes: DataFrame, links: DataFrame) -> DataFrame:
+        """The same for no more than SETTLED nodes and SETTLED_LINKS links, in one task, in order of rank."""
+        ready(nodes.sparkSession)
+        text = lambda c: F.concat_ws(":", f"{c}.high", f"{c}.low")
+        place = [F.col("rank.late").alias("late"), F.coalesce("rank.batch", F.lit(0)).alias("batch"), "node", "digest", text("fp").alias("fp")]
+        rows = nodes.select(*place, F.lit(None).cast("string").alias("to")).unionByName(
+            links.select(F.lit(None).cast("boolean").alias("late"), F.lit(None).cast("bigint").alias("batch"), F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("string").alias("digest"), text("fp").alias("fp"), text("to").alias("to"))
+        )
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order, near = [], defaultdict(list)
+            for late, batch, node, digest, fp, to in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
+                if to is None:
+                    order.append((late, batch, node, digest, fp or None))
+                else:
+                    near[fp].append(to)
+            digests, fps, out = set(), set(), []
+            for _, _, node, digest, fp in sorted(order, key=lambda r: r[:3]):
+                if (digest is None or digest not in digests) and (fp is None or (fp not in fps and fps.isdisjoint(near[fp]))):
+                    out.append(node)
+                    digests.add(digest)
+                    fps.add(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
+
+        return keep(nodes.join(rows.coalesce(1).mapInArrow(run, "node bigint"), "node").select(*nodes.columns), "first")
 
 
 def arrivals(df: DataFrame, slices: int = SLICES, ids: str = "capture_id", batches: str = "batch_seq", exact: str = "image_hash", near: str = "image_dhash") -> DataFrame:
