@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ALLIANCE_SUFFIXES, UI_LABELS, Constants, day_labels
@@ -63,7 +63,7 @@ def tokens(c: Column) -> Column:
 def strip_bare_tags(c: Column) -> Column:
     """Without tag-like words, unless nothing else is left."""
     kept = F.filter(tokens(c), lambda t: ~looks_like_tag(t))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(strip(c))
+    return F.coalesce(F.nullif(F.array_join(kept, " "), F.lit("")), strip(c))
 
 
 def strip_alliance_suffixes(c: Column) -> Column:
@@ -140,3 +140,9 @@ def is_player_row(name: Column, score: Column, least: Column | int) -> Column:
 
 def content_hash(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
+
+
+def held(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with more columns, each worked out once: a generator between them and their use keeps the optimizer from
+    writing a long expression out again wherever it is referred to."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()]))))

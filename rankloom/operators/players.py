@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RowClustering
-from ..functions.text import clean_player_name, is_player_row, parse_score, strip
+from ..functions.text import clean_player_name, held, is_player_row, parse_score, strip
 from .rows import parsed_rows, row_members
 from .words import without_noise
 
@@ -14,7 +14,7 @@ from .words import without_noise
 def read_rows(words: DataFrame, height: Column | int = 2400, width: int = 1080, rows: RowClustering = RowClustering()) -> DataFrame:
     """(image_id, anchor_ord, name, score, splits) of the rows that are players', before any repair."""
     parsed = parsed_rows(row_members(without_noise(words), height, rows), width, rows)
-    read = parsed.withColumn("name", clean_player_name(F.col("raw_name"))).withColumn("score", parse_score(F.col("raw_score")))
+    read = held(parsed, name=clean_player_name(F.col("raw_name")), score=parse_score(F.col("raw_score")))
     return read.filter(is_player_row(F.col("name"), F.col("score"), rows.min_score)).drop("raw_name", "raw_score")
 
 
@@ -26,18 +26,16 @@ def extract_players(words: DataFrame, height: Column | int = 2400, width: int =
     ``candidates`` are the valid splits if there are two or more, else null. A word of more than 18 digits has no score.
     """
     read = read_rows(words, height, width, rows)
-    valid = F.filter(
-        F.transform("splits", lambda s: F.struct(clean_player_name(s["name"]).alias("player_name"), s["score"].alias("score"))),
-        lambda s: is_player_row(s["player_name"], s["score"], rows.min_score),
-    )
-    beside = read.withColumn("valid", valid).selectExpr(
+    read = held(read, cleaned=F.transform("splits", lambda s: F.struct(clean_player_name(s["name"]).alias("player_name"), s["score"].alias("score"))))
+    read = held(read, valid=F.filter("cleaned", lambda s: is_player_row(s["player_name"], s["score"], rows.min_score)))
+    beside = read.selectExpr(
         "*",
         "lag(score) over (partition by image_id order by anchor_ord) as upper",
         "lead(score) over (partition by image_id order by anchor_ord) as lower",
     )
     fits = lambda s: F.coalesce(s <= F.col("upper"), F.lit(True)) & F.coalesce(s >= F.col("lower"), F.lit(True))
     other = F.get(F.filter("valid", lambda s: fits(s["score"])), F.lit(0))
-    fixed = beside.withColumn("other", F.when((F.size("splits") > 0) & ~fits(F.col("score")), other))
+    fixed = held(beside, other=F.when((F.size("splits") > 0) & ~fits(F.col("score")), other))
     out = fixed.select(
         "image_id", "anchor_ord", strip(F.coalesce("other.player_name", "name")).alias("player_name"), F.coalesce("other.score", "score").alias("score"),
         F.when(F.size("valid") >= 2, F.col("valid")).alias("candidates"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RowClustering
-from ..functions.text import crash_splits, is_numeric_token, strip
+from ..functions.text import crash_splits, held, is_numeric_token, strip
 from .words import is_score
 
 
@@ -25,7 +25,7 @@ def row_members(words: DataFrame, height: Column | int = 2400, rows: RowClusteri
     A score's row has all words that are no scores and whose centre is at most one band above or another below its own,
     bounds included; a word may be in several rows. The score itself is in its row, after words of the same place.
     """
-    flagged = words.withColumn("is_score", is_score(F.col("text"), rows.min_score))
+    flagged = held(words, is_score=is_score(F.col("text"), rows.min_score))
     up, down = _bands(height, rows)
     anchors = flagged.filter("is_score").select("image_id", F.col("ord").alias("anchor_ord"), (F.col("avg_y") - up).alias("from_y"), (F.col("avg_y") + down).alias("to_y"))
     others = flagged.filter("not is_score")
@@ -43,13 +43,13 @@ def parsed_rows(members: DataFrame, width: int = 0, rows: RowClustering = RowClu
     ``splits`` are the ways to read the last such word of the row, an empty array if there is none.
     """
     m = F.struct("member_pos", "text", "left_x", "right_x", "avg_x")
-    row = members.groupBy("image_id", "anchor_ord").agg(F.array_sort(F.collect_list(m)).alias("m"))
+    row = members.groupBy("image_id", "anchor_ord").agg(F.array_sort(F.collect_list(m)).alias("given"))
     left = lambda w: F.coalesce(w["left_x"].cast("double"), w["avg_x"])
     right = lambda w: F.coalesce(w["right_x"].cast("double"), w["avg_x"])
-    read = F.transform("m", lambda w: F.struct(w["text"].alias("text"), left(w).alias("left"), right(w).alias("right"), is_numeric_token(w["text"]).alias("number"), crash_splits(w["text"]).alias("splits")))
-    row = row.select("image_id", "anchor_ord", read.alias("m"))
+    read = F.transform("given", lambda w: F.struct(w["text"].alias("text"), left(w).alias("left"), right(w).alias("right"), is_numeric_token(w["text"]).alias("number"), crash_splits(w["text"]).alias("splits")))
+    row = held(row, m=read).drop("given")
     last = lambda good: F.array_max(F.transform(F.sequence(F.lit(1), F.size("m")), lambda i: F.when(good(F.element_at("m", i)), i)))
-    row = row.withColumn("number_at", last(lambda w: w["number"])).withColumn("crash_at", last(lambda w: F.size(w["splits"]) > 0))
+    row = held(row, number_at=last(lambda w: w["number"]), crash_at=last(lambda w: F.size(w["splits"]) > 0))
     at = F.coalesce("number_at", "crash_at")
     row = row.filter(at.isNotNull()).withColumn("at", at).withColumn("score_word", F.element_at("m", F.col("at")))
     split = F.when(F.col("number_at").isNull(), F.get(F.col("score_word.splits"), F.lit(0)))
@@ -72,4 +72,4 @@ def parsed_rows(members: DataFrame, width: int = 0, rows: RowClustering = RowClu
     score = F.when(F.col("split").isNotNull(), F.col("split.score_text")).otherwise(F.col("score_word.text"))
     crash = F.when(F.col("crash_at").isNotNull(), F.element_at("m", F.col("crash_at"))["splits"])
     none = F.filter(F.col("score_word.splits"), lambda _: F.lit(False))
-    return row.select("image_id", "anchor_ord", name.alias("raw_name"), score.alias("raw_score"), F.coalesce(crash, none).alias("splits")).filter("raw_name <> ''")
+    return held(row, raw_name=name, raw_score=score, read_splits=F.coalesce(crash, none)).select("image_id", "anchor_ord", "raw_name", "raw_score", F.col("read_splits").alias("splits")).filter("raw_name <> ''")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested", "names")
+MODULES = ("nested", "names", "boards")
 
 
 def _of(name: str) -> dict:
