@@ -237,7 +237,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None) -> D
     block was used before. The mix is as large as the scarcest source allows with every share reached, or ``total`` tokens.
     """
     tokens, plan = prepare(documents, targets, total)
-    return slots_of(documents.sparkSession, plan).join(blocks_of(tokens, plan), ["source", "block"])
+    # the planner takes the slots for a few rows, as they come from a function over few rows; both sides grow with the mix
+    return slots_of(documents.sparkSession, plan).hint("merge").join(blocks_of(tokens, plan), ["source", "block"])
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
