@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..arrow import ready
+from ..arrow import ready, spread
 from ..operators.skew import REFERENCE_ROWS
 from ..scratch import keep
 from .automaton import Automaton, Trie
@@ -206,8 +206,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int, pivots: list[str
 
     The left name stays in its home cell, the right one is copied over boundaries, so each pair is met once.
     """
-    a = cells(left, pivots, radius).select("server_id", "text", F.inline("cells")).filter("home").select("server_id", "text", "cell")
-    b = cells(right, pivots, radius).select("server_id", F.col("text").alias("other"), F.inline("cells")).select("server_id", "other", "cell")
+    a = cells(spread(left, "server_id", "text"), pivots, radius).select("server_id", "text", F.inline("cells")).filter("home").select("server_id", "text", "cell")
+    b = cells(spread(right, "server_id", "text"), pivots, radius).hint("merge").select("server_id", F.col("text").alias("other"), F.inline("cells")).select("server_id", "other", "cell")
     distance = F.levenshtein("text", "other", radius)
     return a.join(b, ["server_id", "cell"]).withColumn("distance", distance).filter("distance >= 0").select("server_id", "text", "other", "distance")
 
@@ -219,7 +219,7 @@ def close_enough(distance: Column, text: Column, other: Column) -> Column:
 
 def players(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     """(server_id, name, player): who is meant by each distinct name of a server; names that fit nobody are on their own."""
-    read = keep(read_names(names, nicknames), "read")
+    read = keep(read_names(spread(names, "server_id", "name"), nicknames), "read")
     full = read.filter("kind = 'full'")
     points = keep(full.groupBy("server_id", "text", "given", "family").agg(F.sum("n").alias("n")), "points")
     pivots = choose_pivots(points)
