@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested", "names", "boards")
+MODULES = ("nested", "names", "boards", "screens", "rasters")
 
 
 def _of(name: str) -> dict:
