@@ -88,6 +88,7 @@ class Trie:
             places[c] = places.get(c, 0) | 1 << i
         mask = (1 << width) - 1
         move, children, values = automaton.move, self.children, self.values
+        moves, seen = automaton.moves, places.get
         stack = [(0, automaton.start, 0)]
         while stack:
             node, state, base = stack.pop()
@@ -97,9 +98,14 @@ class Trie:
                     for v in values[node]:
                         if e < found.get(v, automaton.most + 1):
                             found[v] = e
-            left = min(n - base, width)
+            left = n - base
+            if left > width:
+                left = width
             for c, to in children[node].items():
-                s, on = move(state, (places.get(c, 0) >> base) & mask, left)
-                if s >= 0:
-                    stack.append((to, s, base + on))
+                key = (state, (seen(c, 0) >> base) & mask, left)
+                step = moves.get(key)
+                if step is None:
+                    step = move(*key)
+                if step[0] >= 0:
+                    stack.append((to, step[0], base + step[1]))
         return found

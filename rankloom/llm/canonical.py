@@ -41,7 +41,8 @@ def fold(name: str) -> set[tuple[str, str]]:
     than the small ones do.
     """
     out = set()
-    for text in (skeleton(name).lower(), skeleton(plain(name).lower())):
+    forms = (name.lower(),) if name.isascii() else (skeleton(name).lower(), skeleton(plain(name).lower()))
+    for text in forms:
         out.add(("".join(c for c in text if c.isalpha()), "".join(c for c in text if c.isdigit())))
     return out
 
@@ -61,24 +62,29 @@ class Reference:
                     self.tries.setdefault(digits, Trie()).add(letters, (value, allowed(letters)))
         self.automata = [Automaton(e) for e in range(MOST + 1)]
 
-    def within(self, text: str, most: int = MOST) -> dict[int, int]:
-        """All entries within the distance that their length allows and ``most``, by the value or a part of it, with their distances."""
+    def readings(self, text: str) -> list[tuple[Trie, str]]:
+        """The letters of the value and of what is left of it without a prefix, each with the trie of its digits."""
+        parts = {f for part in paths(plain(text)) for f in fold(part)}
+        return [(trie, letters) for letters, digits in sorted(parts) if (trie := self.tries.get(digits)) is not None]
+
+    def search(self, readings: list[tuple[Trie, str]], most: int) -> dict[int, int]:
         found: dict[int, int] = {}
-        for part in paths(plain(text)):
-            for letters, digits in fold(part):
-                trie = self.tries.get(digits)
-                if trie is None:
-                    continue
-                for (v, may), e in trie.search(letters, self.automata[most]).items():
-                    if e <= may:
-                        found[v] = min(e, found.get(v, e))
+        for trie, letters in readings:
+            for (v, may), e in trie.search(letters, self.automata[most]).items():
+                if e <= may:
+                    found[v] = min(e, found.get(v, e))
         return found
 
+    def within(self, text: str) -> dict[int, int]:
+        """All entries within the distance that their length allows, by the value or a part of it, with their distances."""
+        return self.search(self.readings(text), MOST)
+
     def closest(self, text: str) -> int | None:
         """The entry at the least distance, the smallest one of equals; wider automata run only where narrower ones find nothing."""
-        for most in range(MOST + 1):
-            if found := self.within(text, most):
-                return min(found, key=lambda v: (found[v], v))
+        if readings := self.readings(text):
+            for most in range(MOST + 1):
+                if found := self.search(readings, most):
+                    return min(found, key=lambda v: (found[v], v))
         return None
 
 

@@ -81,9 +81,13 @@ def compositions() -> list[tuple[str, str]]:
 
 def plain(text: str) -> str:
     """One consistent form of a text that looks the same: composed, without invisible characters, spaces as U+0020."""
+    if text.isascii() and text.isprintable():
+        return text
     return unicodedata.normalize("NFC", "".join(map(decompose, text)))
 
 
 def skeleton(text: str) -> str:
     """``plain`` with look-alike letters as the Latin ones."""
+    if text.isascii() and text.isprintable():
+        return text
     return unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for k in text for c in decompose(k)))
