@@ -26,7 +26,8 @@ def sub_batches(frames: DataFrame, most_pixels: int = MOST_PIXELS, separator: in
         return F.when(fits, at).when(low, F.struct(at["lo"].alias("lo"), half.alias("n"))).otherwise(F.struct((at["lo"] + half).alias("lo"), (at["n"] - half).alias("n")))
 
     start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("group_n").cast("bigint").alias("n"))
-    slices = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, halve)
+    steps = F.ceil(F.log2(F.col("group_n").cast("double"))).cast("int") + 1
+    slices = F.aggregate(F.sequence(F.lit(1), steps), start, halve)
     return placed.withColumn("sub_batch", slices["lo"]).drop("group_n")
 
 
