@@ -109,10 +109,11 @@ w AS (SELECT capture_id AS {key}, CAST(row_number() OVER (PARTITION BY capture_i
   {coordinate('min', 'x')} AS left_x, {coordinate('max', 'x')} AS right_x, {coordinate('min', 'y')} AS top_y, {coordinate('max', 'y')} AS bottom_y FROM we)"""
 
 
-def board(words: str = _WORDS, up: int = 50, down: int = 4, gap: int = 16) -> str:
-    """Common table expressions from words to players: m (members), r (read rows), pre, beside, out."""
+def board(words: str = _WORDS, up: int | str = 50, down: int | str = 4, gap: int = 16, edges: bool = False) -> str:
+    """Common table expressions from words to players: m (members), r (read rows), pre and p. ``edges``: words may lack a box."""
+    edge = "* REPLACE (coalesce(left_x, avg_x) AS left_x, coalesce(right_x, avg_x) AS right_x)" if edges else "*"
     return f"""
-w AS ({words}),
+w AS (SELECT {edge} FROM ({words}) AS given),
 q AS (SELECT *, {D.is_score('text')} AS is_score, {D.numeric('text')} AS num, {D.splits('text')} AS sp FROM w WHERE {D.not_noise('text')}),
 m0 AS (
   SELECT o.*, a.ord AS anchor_ord FROM q AS o JOIN q AS a ON o.image_id = a.image_id AND a.is_score AND NOT o.is_score AND o.avg_y BETWEEN a.avg_y - {up} AND a.avg_y + {down}
@@ -171,3 +172,6 @@ SELECT image_id, ord, text, avg_x, avg_y, list_min(list_transform(v, lambda p: c
     "bounds_repair": f"WITH {board()} SELECT image_id, anchor_ord, read_name, read_score, player_name, score FROM p WHERE score <> read_score",
 }
 QUERIES["capture_players"] = capture_players
+_CAPTURE_WORDS = f"""WITH {flat()} SELECT w.*, greatest(1, CAST(trunc(0.021 * CAST(image_height AS DOUBLE)) AS INTEGER)) AS up, greatest(1, CAST(trunc(0.002 * CAST(image_height AS DOUBLE)) AS INTEGER)) AS down
+FROM w JOIN fixture ON capture_id = image_id WHERE image_height IS NOT NULL"""
+SQL["capture_players"] = f"WITH {board(_CAPTURE_WORDS, up='a.up', down='a.down', edges=True)} SELECT image_id, anchor_ord, player_name, score FROM p"

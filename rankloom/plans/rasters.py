@@ -16,6 +16,7 @@ from ..operators.classify import classify
 from ..operators.tabs import all_tabs, tab_regions
 from ..operators.words import words_of
 from ..sources.captures import read_text, stored_text
+from .boards import flat
 
 WIDE, TALL = 224, 64
 _SEASON = ("Mutual Assistance", "Siege", "Rare Soil War", "Defeat")
@@ -169,5 +170,9 @@ SELECT capture_id AS image_id, CASE WHEN x = 0 AND y = 0 THEN NULL ELSE CAST(x A
   CASE WHEN x = 0 AND y = 0 THEN NULL ELSE CAST(w - x AS INTEGER) END AS "right", CASE WHEN x = 0 AND y = 0 THEN NULL ELSE CAST(h - y AS INTEGER) END AS bottom {_SIZES}""",
     "crop_colours": f"""
 SELECT capture_id AS image_id, 'corner' AS box, CAST(200 * (10 - x) // 10 AS INTEGER) AS r, CAST(100 * (10 - x) // 10 AS INTEGER) AS g, CAST(50 * (10 - x) // 10 AS INTEGER) AS b, CAST(0 AS DOUBLE) AS white {_SIZES}""",
+    "ocr_slot": f"""
+WITH {flat()}, first AS (SELECT image_hash, arg_min(capture_id, source_file) AS c FROM fixture WHERE image_hash IS NOT NULL GROUP BY image_hash),
+n AS (SELECT image_id, count(*) AS words FROM w GROUP BY image_id)
+SELECT f.capture_id AS image_id, n.words AS words FROM fixture AS f JOIN first ON f.image_hash = first.image_hash JOIN n ON n.image_id = first.c""",
     "ocr_engine": f"SELECT capture_id AS image_id, '200/100/50' AS text, 4 AS right_x {_SIZES}",
 }

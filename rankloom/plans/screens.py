@@ -180,4 +180,7 @@ SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY coalesce
 FROM player_entry WHERE category IN ({_KNOWN})""",
     "category_totals": "SELECT category, count(*) AS players, CAST(sum(score) AS BIGINT) AS score FROM player_entry GROUP BY category",
     "category_override": f"WITH {P.board()} SELECT 'friday' AS category, count(*) AS players, CAST(sum(score) AS BIGINT) AS score FROM p",
+    "batch_response": f"""
+WITH {P.board()}, c AS (SELECT *, CASE image_id % 4 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES[:4]))} END AS category FROM p)
+SELECT category, CAST(to_json(list({{'player_name': player_name, 'score': score}} ORDER BY image_id, anchor_ord)) AS VARCHAR) AS entries FROM c GROUP BY category""",
 }
