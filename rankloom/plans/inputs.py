@@ -53,7 +53,7 @@ SELECT p_partkey, p_brand, CAST(p_size*5 % 256 AS INT) AS r, CAST(p_partkey % 25
 """
 RAW_NAMES = """
 SELECT c_custkey AS id, CASE c_custkey % 12
-  WHEN 0 THEN CONCAT('1. ', nm) WHEN 1 THEN CONCAT('48 R4 [PoWr]', nm) WHEN 2 THEN CONCAT(nm, ' [TAG]') WHEN 3 THEN CONCAT('(Tag) ', nm, ' PoWr')
+  WHEN 0 THEN CONCAT('1. ', nm) WHEN 1 THEN CONCAT('48 R4 [ZaPp]', nm) WHEN 2 THEN CONCAT(nm, ' [TAG]') WHEN 3 THEN CONCAT('(Tag) ', nm, ' ZaPp')
   WHEN 4 THEN CONCAT(nm, '  pantheon of WRATH') WHEN 5 THEN CONCAT('R2 ', nm, '!?*') WHEN 6 THEN CONCAT('  ', nm, '   x ') WHEN 7 THEN CONCAT('100', nm)
   WHEN 8 THEN '12 CoRe' WHEN 9 THEN CONCAT('ก', nm, 'ฟ') WHEN 10 THEN CONCAT('Pà ', nm, '_é-') ELSE nm END AS raw
 FROM (SELECT c_custkey, replace(c_name, '#', ' ') AS nm FROM customer) AS named

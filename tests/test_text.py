@@ -18,17 +18,17 @@ def test_strip_takes_all_white_space(value):
 
 
 def test_tags_and_ranks(value):
-    assert value(T.strip_alliance_tag, "[PoWr] Bob", "(Tag]Bob", "[]Bob", "[twelve chars]Bob") == ["Bob", "Bob", "[]Bob", "[twelve chars]Bob"]
+    assert value(T.strip_alliance_tag, "[ZaPp] Bob", "(Tag]Bob", "[]Bob", "[twelve chars]Bob") == ["Bob", "Bob", "[]Bob", "[twelve chars]Bob"]
     assert value(T.strip_leading_rank, "1. Bob", "100Max", "1234Max", "x1") == ["Bob", "Max", "4Max", "x1"]
     assert value(T.strip_rank_badge, "R4 Bob", "Bob R1", "R9 Bob", "AR1 B") == ["Bob", "Bob", "R9 Bob", "AR1 B"]
 
 
 def test_bare_tags_stay_if_nothing_else_is_left(value):
-    assert value(T.strip_bare_tags, "PoWr Bobby", "PoWr", "FF7 Bob", "CoRe PoWr") == ["Bobby", "PoWr", "FF7 Bob", "CoRe PoWr"]
+    assert value(T.strip_bare_tags, "ZaPp Bobby", "ZaPp", "FF7 Bob", "CoRe ZaPp") == ["Bobby", "ZaPp", "FF7 Bob", "CoRe ZaPp"]
 
 
 def test_clean_player_name(value):
-    given = ["48 R4 [PoWr] Shodan", "[PoWr] Max Pantheon of Wrath", "Bob [TAG] Pantheon of Wrath", "กBobฟ", "Pàcha!", "12 CoRe", "R4 48 X", None]
+    given = ["48 R4 [ZaPp] Shodan", "[ZaPp] Max Pantheon of Wrath", "Bob [TAG] Pantheon of Wrath", "กBobฟ", "Pàcha!", "12 CoRe", "R4 48 X", None]
     assert value(T.clean_player_name, *given) == ["Shodan", "Max", "Bob", "Bob", "Pàcha", "", "48 X", None]
 
 
