@@ -46,6 +46,7 @@ class GivenNames:
         for full in sorted(set(self.exact.values())):
             self.by_initial.setdefault(full[0], []).append(full)
         self.known: dict[str, tuple[str, int] | None] = {}
+        self.tied: dict[str, list[str]] = {}
 
     def find(self, word: str) -> tuple[str, int] | None:
         """(given name, errors) if one and only one is nearest; short forms may have one error, full ones of seven letters two."""
@@ -58,7 +59,9 @@ class GivenNames:
             for errors in (1, 2) if len(word) >= 7 else (1,):
                 hits = {full for (full, short), e in self.trie.search(word, self.automata[errors - 1]).items() if e == errors and not (short and e > 1)}
                 if hits:
-                    out = (hits.pop(), errors) if len(hits) == 1 else None
+                    out = (min(hits), errors) if len(hits) == 1 else None
+                    if out is None and len(self.tied) < 200_000:
+                        self.tied[word] = sorted(hits)
                     break
         if len(self.known) < 200_000:
             self.known[word] = out
@@ -66,7 +69,10 @@ class GivenNames:
 
 
 def read_name(name: str, names: GivenNames) -> list[tuple[str, str]]:
-    """(given, family) readings in lower case, the likelier first; the given name may be one letter, or empty if unknown."""
+    """(given, family) readings in lower case, the likelier first; the given name may be one letter, or empty if unknown.
+
+    A given name as near to several known ones has a reading for each of them, all with the same family name.
+    """
     text = " ".join(plain(name).split())
     turned = "," in text
     parts = [re.sub(r"[^\w]|[\d_]", "", p) for p in re.split(r"[,\s]+|(?<=\w)\.(?=\w)", text)]
@@ -88,6 +94,10 @@ def read_name(name: str, names: GivenNames) -> list[tuple[str, str]]:
     if len(a) == 1 or len(b) == 1:
         return [(a, b)] if len(a) == 1 else [(b, a)]
     first, second = names.find(a), names.find(b)
+    if not first and not second:
+        for given, family in ((a, b), (b, a)):
+            if tied := names.tied.get(given):
+                return [(g, family) for g in tied]
     if turned and (first or not second):
         return [(first[0] if first else a, b)]
     if first and (not second or first[1] <= second[1]):
@@ -132,6 +142,7 @@ def read_names(names: DataFrame, nicknames: DataFrame) -> DataFrame:
         if not readings or not readings[0][0]:
             yield server, name, n, "odd", "", "", " ".join(plain(name).lower().split())
             return
+        sure = len(readings) == 1 or readings[0][1] != readings[1][1]
         for k, (given, family) in enumerate(readings):
             givens = built[0].by_initial.get(given, [given]) if len(given) == 1 else [given]
             short = not any(c in VOWELS for c in family)
@@ -139,7 +150,7 @@ def read_names(names: DataFrame, nicknames: DataFrame) -> DataFrame:
                 if short:
                     yield server, name, n, "short", g, family, family
                 else:
-                    yield server, name, n, "full" if len(given) > 1 and k == 0 else "part", g, family, f"{g} {family}"
+                    yield server, name, n, "full" if len(given) > 1 and k == 0 and sure else "part", g, family, f"{g} {family}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:

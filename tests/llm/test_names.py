@@ -81,7 +81,7 @@ def test_paths_and_all_entries_within_distance():
     assert Reference([(1, "Abcdefghi"), (2, "Abcdefghj")]).closest("abcdefghk") == 1
 
 
-NICKS = [("Mandi", "Solabaus"), ("Kray", "Krarikam")]
+NICKS = [("Mandi", "Solabaus"), ("Kray", "Krarikam"), ("Traelo", "Dekrind"), ("Trano", "Greitril")]
 
 
 def test_readings_of_typed_names():
@@ -89,6 +89,7 @@ def test_readings_of_typed_names():
     full = ("krarikam", "thousmonas")
     for name in ("Krarikam Thousmonas", "Thousmonas, Krarikam", "KrarikamThousmonas", "thousmonas krarikam", "KRAY THOUSMONAS", "krraythousmonas", "Thousmonas Krarikma"):
         assert read_name(name, n)[0] == full, name
+    assert read_name("Thousmonas, Tralo", n) == [("dekrind", "thousmonas"), ("greitril", "thousmonas")]
     assert read_name("K. Thousmonas", n) == [("k", "thousmonas")] and read_name("!", n) == [] and read_name("word", n) == [("", "word")]
 
 
