@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..arrow import ready
+from ..functions.text import held
 from ..operators.skew import join_to_unique
 from ..scratch import keep
 
@@ -48,18 +49,20 @@ def parse_fields(payload: Column) -> Column:
     return F.when(text.startswith("{"), F.coalesce(pairs, parts)).otherwise(parts)
 
 
-def record_key(payload: Column) -> Column:
-    """The four canonical fields in one string; null if the payload is null or names none of them.
+def keyed(df: DataFrame, payload: str, row_id: str) -> DataFrame:
+    """(row_id, key): the four canonical fields of each record in one string.
 
-    A field that is missing, null or without letters and digits is empty; of a field given twice the first counts.
+    Rows whose payload is null or names none of the fields are left out. A field that is missing, null or without letters
+    and digits is empty; of a field given twice the first counts. Each payload is parsed once.
     """
-    fields = parse_fields(payload)
+    parsed = held(df.select(F.col(f"`{row_id}`").alias(row_id), F.col(f"`{payload}`").alias("payload__")), fields__=parse_fields(F.col("payload__")))
+    names = [n.replace("_", "") for n in FIELDS]
 
     def value(name: str) -> Column:
-        return F.filter(fields, lambda f: f["name"] == name.replace("_", ""))
+        return F.coalesce(F.get(F.filter("fields__", lambda f: f["name"] == name), F.lit(0))["value"], F.lit(""))
 
-    some = F.exists(fields, lambda f: f["name"].isin([n.replace("_", "") for n in FIELDS]))
-    return F.when(some, F.concat_ws(SEPARATOR, *[F.coalesce(F.get(value(n), F.lit(0))["value"], F.lit("")) for n in FIELDS]))
+    named = parsed.filter(F.exists("fields__", lambda f: f["name"].isin(names)))
+    return held(named, key=F.concat_ws(SEPARATOR, *map(value, names))).select(row_id, "key")
 
 
 def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -149,10 +152,9 @@ def split_repeats(df: DataFrame, payload: str = "payload", row_id: str = "raw_id
     """
     spark = df.sparkSession
     ready(spark)
-    keyed = df.select(F.col(f"`{row_id}`").alias(row_id), record_key(F.col(f"`{payload}`")).alias("key")).filter("key is not null")
     total = df.count()
     bits = filter_bits(total)
-    hashed = keyed.withColumn("hash", F.xxhash64("key"))
+    hashed = keyed(df, payload, row_id).withColumn("hash", F.xxhash64("key"))
     again = spark.sparkContext.broadcast(repeat_filter(hashed.select("hash"), bits))
 
     @F.pandas_udf("boolean")
