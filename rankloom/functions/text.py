@@ -99,8 +99,8 @@ def crash_splits(c: Column) -> Column:
 
     The score is grouped by commas and runs to the end; the name has no comma. Words without a letter have none.
     """
-    pattern = f"^{Constants().score_suffix}$"
-    starts = F.when(c.rlike(r"\p{L}") & c.rlike(f"{Constants().score_suffix}$"), F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>"))
+    pattern = rf"^{Constants().score_suffix}\z"
+    starts = F.when(c.rlike(r"\p{L}") & c.rlike(rf"{Constants().score_suffix}\z"), F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>"))
     good = F.filter(starts, lambda i: F.substring(c, i, F.length(c)).rlike(pattern) & (F.instr(F.substring(c, F.lit(1), i - 1), ",") == 0))
     # of equal scores, the split farthest to the right comes first
     split = F.transform(
