@@ -42,7 +42,9 @@ def rebuild(texts: DataFrame, text: str = "text") -> DataFrame:
     """
     spark = texts.sparkSession
     mapping, composing = rules(spark)
-    names = texts.select(F.col(f"`{text}`").alias("text")).filter("text is not null").distinct()
+    every = texts.select(F.col(f"`{text}`").alias("text")).filter("text is not null").distinct()
+    ascii = F.col("text").rlike(r"^[\x20-\x7e]*\z")  # no rule changes these, so they are their own forms
+    names = every.filter(~ascii)
     chars = names.select("text", F.posexplode_outer(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
     itself = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("class"), F.col("ch").alias("like"))).cast(_PARTS)
     pieces = chars.join(F.broadcast(mapping), "ch", "left").select("text", "pos", F.posexplode_outer(F.coalesce("parts", itself)).alias("sub", "p"))
@@ -70,7 +72,8 @@ def rebuild(texts: DataFrame, text: str = "text") -> DataFrame:
         composed = F.coalesce("all", F.concat("first", "after"), F.concat("second", "between"), F.col(column))
         clusters = clusters.withColumn(column, composed).drop("two", "after", "skip", "between", "all", "first", "second")
     whole = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", f))), lambda x: x[f]), "")
-    return clusters.groupBy("text").agg(whole("c").alias("plain"), whole("like").alias("skeleton"))
+    changed = clusters.groupBy("text").agg(whole("c").alias("plain"), whole("like").alias("skeleton"))
+    return changed.unionByName(every.filter(ascii).select("text", F.col("text").alias("plain"), F.col("text").alias("skeleton")))
 
 
 def same_look(entries: DataFrame, roster: DataFrame, name: str = "player_name", entry_id: str = "entry_id", member: str = "member_id") -> DataFrame:
