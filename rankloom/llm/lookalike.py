@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import broadcast_if_small, join_to_unique
+from ..scratch import keep
 from .characters import LOOKALIKES, changing, combining, compositions
 
 _PARTS = "array<struct<c:string,class:int,like:string>>"
@@ -29,7 +30,7 @@ def rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(first, f"ch string, parts {_PARTS}"), spark.createDataFrame(second, "apart string, whole string")
 
 
-def rebuild(texts: DataFrame, text: str = "text") -> DataFrame:
+def rebuild(texts: DataFrame, text: str = "text", tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(text, plain, skeleton) of each distinct text of one column.
 
     ``plain`` is the composed form without invisible characters, with white space as U+0020 and forms of equal look
@@ -41,7 +42,7 @@ def rebuild(texts: DataFrame, text: str = "text") -> DataFrame:
     one shuffle that makes texts distinct.
     """
     spark = texts.sparkSession
-    mapping, composing = rules(spark)
+    mapping, composing = tables or rules(spark)
     every = texts.select(F.col(f"`{text}`").alias("text")).filter("text is not null").distinct()
     ascii = F.col("text").rlike(r"^[\x20-\x7e]*\z")  # no rule changes these, so they are their own forms
     names = every.filter(~ascii)
@@ -86,8 +87,9 @@ def same_look(entries: DataFrame, roster: DataFrame, name: str = "player_name",
     small = broadcast_if_small(members.select("text").distinct())
     other = given.join(small, "text", "left_anti")
     counts = other.groupBy("text").agg(F.count("*").alias("n"))
-    forms = rebuild(counts).filter("trim(skeleton) <> ''").select("text", "skeleton")
-    own = rebuild(members).select("text", "skeleton").join(members, "text").select("skeleton", "member_id").distinct()
+    tables = tuple(keep(t, "rules") for t in rules(entries.sparkSession))  # written once, read by both sides
+    forms = rebuild(counts, tables=tables).filter("trim(skeleton) <> ''").select("text", "skeleton")
+    own = rebuild(members, tables=tables).select("text", "skeleton").join(members, "text").select("skeleton", "member_id").distinct()
     found = forms.join(broadcast_if_small(own), "skeleton").join(counts, "text").select("text", "member_id", "n")
     total = entries.count()
     return join_to_unique(other, found, "text", "n", total).select("entry_id", "member_id")
