@@ -11,14 +11,14 @@ from .rows import parsed_rows, row_members
 from .words import without_noise
 
 
-def read_rows(words: DataFrame, height: Column | int = 2400, width: int = 1080, rows: RowClustering = RowClustering()) -> DataFrame:
+def read_rows(words: DataFrame, height: Column | int = 2400, width: Column | int = 1080, rows: RowClustering = RowClustering()) -> DataFrame:
     """(image_id, anchor_ord, name, score, splits) of the rows that are players', before any repair."""
     parsed = parsed_rows(row_members(without_noise(words), height, rows), width, rows)
     read = held(parsed, name=clean_player_name(F.col("raw_name")), score=parse_score(F.col("raw_score")))
     return read.filter(is_player_row(F.col("name"), F.col("score"), rows.min_score)).drop("raw_name", "raw_score")
 
 
-def extract_players(words: DataFrame, height: Column | int = 2400, width: int = 1080, rows: RowClustering = RowClustering()) -> DataFrame:
+def extract_players(words: DataFrame, height: Column | int = 2400, width: Column | int = 1080, rows: RowClustering = RowClustering()) -> DataFrame:
     """(image_id, anchor_ord, player_name, score, candidates): the players of each image in order of their rows.
 
     Scores fall from top to bottom. Where a row holds a merged word and its score lies outside those of the rows above

@@ -19,6 +19,13 @@ def _bands(height: Column | int, rows: RowClustering) -> tuple[Column, Column]:
     return cut(a.up_band_fraction), cut(a.down_band_fraction)
 
 
+def _gap(width: Column | int, rows: RowClustering) -> Column:
+    if isinstance(width, int):
+        return F.lit(rows.gap(width))
+    own = F.greatest(F.lit(rows.min_word_gap_px), (F.lit(rows.word_gap_fraction) * width).cast("int"))
+    return F.when(F.coalesce(width, F.lit(0)) == 0, F.lit(rows.gap(0))).otherwise(own)
+
+
 def row_members(words: DataFrame, height: Column | int = 2400, rows: RowClustering = RowClustering()) -> DataFrame:
     """(image_id, anchor_ord, member_pos, is_score, and the word): the words of each score's row from left to right.
 
@@ -36,14 +43,15 @@ def row_members(words: DataFrame, height: Column | int = 2400, rows: RowClusteri
     return every.withColumn("member_pos", pos)
 
 
-def parsed_rows(members: DataFrame, width: int = 0, rows: RowClustering = RowClustering()) -> DataFrame:
+def parsed_rows(members: DataFrame, width: Column | int = 0, rows: RowClustering = RowClustering()) -> DataFrame:
     """(image_id, anchor_ord, raw_name, raw_score, splits): rows with a name left of a score.
 
     The score is the rightmost number of the row or, if it has none at all, the rightmost word that ends in one.
-    ``splits`` are the ways to read the last such word of the row, an empty array if there is none.
+    ``splits`` are the ways to read the last such word of the row, an empty array if there is none. A ``width`` that is
+    a column gives each image its own gap between words; a null width is unknown, as 0 is.
     """
     m = F.struct("member_pos", "text", "left_x", "right_x", "avg_x")
-    row = members.groupBy("image_id", "anchor_ord").agg(F.array_sort(F.collect_list(m)).alias("given"))
+    row = members.groupBy("image_id", "anchor_ord").agg(F.array_sort(F.collect_list(m)).alias("given"), F.max(_gap(width, rows)).alias("gap"))
     left = lambda w: F.coalesce(w["left_x"].cast("double"), w["avg_x"])
     right = lambda w: F.coalesce(w["right_x"].cast("double"), w["avg_x"])
     read = F.transform("given", lambda w: F.struct(w["text"].alias("text"), left(w).alias("left"), right(w).alias("right"), is_numeric_token(w["text"]).alias("number"), crash_splits(w["text"]).alias("splits")))
@@ -59,12 +67,11 @@ def parsed_rows(members: DataFrame, width: int = 0, rows: RowClustering = RowClu
     virtual = F.struct(F.col("split.name").alias("text"), F.col("score_word.left").alias("left"), F.col("score_word.left").alias("right"))
     parts = F.when(F.col("split").isNotNull(), F.concat(parts, F.array(virtual))).otherwise(parts)
     row = row.withColumn("parts", parts)
-    gap = rows.gap(width)
 
     def add(acc: Column, w: Column) -> Column:
         # an edge at 0 counts as unknown, and an unknown gap as a wide one
         unknown = (F.coalesce(w["left"], F.lit(0.0)) == 0) | (F.coalesce(acc["right"], F.lit(0.0)) == 0)
-        wide = ~acc["first"] & (unknown | (w["left"] - acc["right"] > gap))
+        wide = ~acc["first"] & (unknown | (w["left"] - acc["right"] > F.col("gap")))
         return F.struct(F.concat(acc["text"], F.when(wide, F.lit(" ")).otherwise(F.lit("")), w["text"]).alias("text"), w["right"].alias("right"), F.lit(False).alias("first"))
 
     start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("right"), F.lit(True).alias("first"))

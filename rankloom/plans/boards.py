@@ -78,8 +78,8 @@ def bounds_repair(spark: SparkSession, sf: str) -> DataFrame:
 def capture_players(spark: SparkSession, sf: str) -> DataFrame:
     """Players of all captures, from their annotations."""
     f = spark.read.parquet(f"{sf}/fixture.parquet")
-    w = words_of(f).join(f.select(F.col("capture_id").alias("image_id"), "image_height"), "image_id").filter("image_height is not null")
-    return extract_players(w, F.col("image_height"), WIDTH).drop("candidates")
+    w = words_of(f).join(f.select(F.col("capture_id").alias("image_id"), "image_height", "image_width"), "image_id").filter("image_height is not null")
+    return extract_players(w, F.col("image_height"), F.col("image_width")).drop("candidates")
 
 
 QUERIES = {

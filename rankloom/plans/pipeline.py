@@ -32,11 +32,11 @@ def process(captures: DataFrame, images: DataFrame | None = None, override: str
         if s.tabs:
             kinds.setdefault(s.row_clustering, []).extend(t.category for t in s.tabs.items)
     if len(kinds) <= 1 or classified is None:
-        return with_category(extract_players(sized, F.col("height"), 1080, next(iter(kinds), RowClustering())), classified, override)
+        return with_category(extract_players(sized, F.col("height"), F.col("width"), next(iter(kinds), RowClustering())), classified, override)
     out = None
     listed = [c for cs in kinds.values() for c in cs]
     for rows, categories in [*kinds.items(), (RowClustering(), None)]:
         own = classified.filter(F.col("category").isin(categories) if categories else ~F.col("category").isin(listed))
-        one = with_category(extract_players(sized.join(own.select("image_id"), "image_id", "left_semi"), F.col("height"), 1080, rows), own, None)
+        one = with_category(extract_players(sized.join(own.select("image_id"), "image_id", "left_semi"), F.col("height"), F.col("width"), rows), own, None)
         out = one if out is None else out.unionByName(one)
     return out

@@ -2,9 +2,14 @@
 
 from collections import defaultdict
 
+import duckdb
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from rankloom.plans import registry
+from rankloom.operators.players import extract_players
+from rankloom.plans import boards, registry
+from rankloom.plans.pipeline import process
+from rankloom.sources.captures import ANNOTATION
 
 
 def lead(parts):
@@ -27,3 +32,37 @@ def test_brightness_argmax_gap_reads_all_parts(spark, sf):
     whole, thinned = lead(parts), lead([p for p in parts if p[0] % 11 == 0])
     assert whole != thinned
     assert {tuple(r) for r in registry.queries()["brightness_argmax_gap"](spark, sf).collect()} == whole
+
+
+def test_gap_of_words_follows_the_width_of_the_image(spark, words):
+    given = [("Iron", 100, 600), ("Wolf", 160, 600), ("50,000", 400, 600)]  # 20 pixels between the words of the name
+    sized = None
+    for image_id, width in enumerate((1080, 1440, 2208, 0, None)):
+        one = words(*given, image_id=image_id).withColumn("width", F.lit(width).cast("int"))
+        sized = one if sized is None else sized.unionByName(one)
+    got = {r.image_id: r.player_name for r in extract_players(sized, 2400, F.col("width")).collect()}
+    assert got == {0: "Iron Wolf", 1: "IronWolf", 2: "IronWolf", 3: "Iron Wolf", 4: "Iron Wolf"}
+
+
+def test_pipeline_passes_the_width_of_each_capture(spark):
+    def word(text, x, y=600):
+        box = {"vertices": [{"x": x - 20, "y": y - 10}, {"x": x + 20, "y": y + 10}]}
+        return {"symbols": [{"text": text, "bounding_box": None}], "boundingbox": None, "bounding_box": box}
+
+    line = [word("Weekly", 50, 30), word("Rank", 120, 30), word("Iron", 100), word("Wolf", 160), word("50,000", 400)]
+    tree = {"text": "", "pages": [{"width": None, "height": None, "blocks": [{"paragraphs": [{"words": line, "boundingbox": None}], "boundingbox": None}]}]}
+    df = spark.createDataFrame([(1, 1080, 2400, tree), (2, 1440, 2400, tree)], f"capture_id bigint, image_width int, image_height int, annotation {ANNOTATION}")
+    for override in (None, "friday"):
+        assert {r.image_id: r.player_name for r in process(df, override=override).collect()} == {1: "Iron Wolf", 2: "IronWolf"}
+
+
+def test_capture_players_with_the_gap_of_each_image(spark, sf):
+    """The SQL of the rows with each capture's own gap in place of the fixed one."""
+    gap = "(SELECT greatest(8, CAST(trunc(0.015 * CAST(image_width AS DOUBLE)) AS INTEGER)) FROM fixture WHERE capture_id = image_id)"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW fixture AS SELECT * FROM read_parquet('{sf}/fixture.parquet')")
+    sql = "WITH {} SELECT image_id, anchor_ord, player_name, score FROM p"
+    read = lambda g: sorted(db.execute(sql.format(boards.board(boards._CAPTURE_WORDS, up="a.up", down="a.down", edges=True, gap=g))).fetchall())
+    assert read(gap) != read(16)
+    got = sorted(tuple(r) for r in registry.queries()["capture_players"](spark, sf).select("image_id", "anchor_ord", "player_name", "score").collect())
+    assert got == read(gap)
