@@ -91,7 +91,7 @@ def classify_colour(spark: SparkSession, sf: str) -> DataFrame:
 
 def find_tab_region(spark: SparkSession, sf: str) -> DataFrame:
     words, _ = _screens(spark, sf)
-    return tab_regions(words.filter("image_id % 3 = 1"), screen("alliance_contribution").tabs)
+    return tab_regions(words, screen("alliance_contribution").tabs)
 
 
 def _letterboxed(spark: SparkSession, sf: str) -> DataFrame:

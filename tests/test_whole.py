@@ -6,8 +6,9 @@ import duckdb
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from rankloom.config import screen
 from rankloom.operators.players import extract_players
-from rankloom.plans import boards, registry
+from rankloom.plans import boards, rasters, registry
 from rankloom.plans.pipeline import process
 from rankloom.sources.captures import ANNOTATION
 
@@ -66,3 +67,36 @@ def test_capture_players_with_the_gap_of_each_image(spark, sf):
     assert read(gap) != read(16)
     got = sorted(tuple(r) for r in registry.queries()["capture_players"](spark, sf).select("image_id", "anchor_ord", "player_name", "score").collect())
     assert got == read(gap)
+
+
+def regions(words, tabs):
+    """(category, left, top, right, bottom) of each tab whose label is among (text, left, top); a word is 20 wide and 4 high."""
+    out = set()
+    for tab in tabs.items:
+        signals = [s.lower().split() for s in tab.signals]
+        one = next((w for s in signals for w in words if all(p in w[0].lower() for p in s)), None)
+        found = [one] if one else next((c for s in signals if len(s) > 1 for w in words if (c := chain(w, s, words))), None)
+        if found:
+            out.add((tab.category, min(w[1] for w in found), min(w[2] for w in found), max(w[1] for w in found) + 20, max(w[2] for w in found) + 4))
+    return out
+
+
+def chain(first, signal, words):
+    if signal[0] not in first[0].lower():
+        return None
+    used = [first]
+    for part in signal[1:]:
+        fit = [w for w in words if w not in used and part in w[0].lower() and abs(w[2] - first[2]) <= 8 and w[1] >= used[-1][1] + 20 - 4]
+        if not fit:
+            return None
+        used.append(min(fit, key=lambda w: w[1]))
+    return used
+
+
+def test_find_tab_region_reads_all_screens(spark, sf):
+    ids = pq.read_table(f"{sf}/customer.parquet", columns=["c_custkey"]).column(0).to_pylist()
+    tabs = screen("alliance_contribution").tabs
+    want = {(n, *r) for n in ids for r in regions(rasters.drawing(n)[0], tabs)}
+    assert {n % 3 for n, *_ in want} == {0, 1, 2}
+    rows = registry.queries()["find_tab_region"](spark, sf).select("image_id", "category", "left_x", "top_y", "right_x", "bottom_y").collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
