@@ -30,8 +30,8 @@ WINDOW, DEPTH = 256, 3
 RANGES, RUNS = 8, 4
 #: Open captures and links among them up to which one task settles the rest.
 SETTLED, SETTLED_LINKS = 20_000, 200_000
-#: Slices in which p1_found lets a table arrive.
-SLICES = 3
+#: Slices in which p1_found lets a table arrive: more than RUNS, so that runs are compacted and read again.
+SLICES = 6
 
 
 def digest(text: Column) -> Column:
