@@ -1,8 +1,8 @@
 """Problem 9: subject areas of documents, from labelling functions weighed by a model that learns their accuracy.
 
 Lexicons of terms are learnt from hand-labelled documents. Each labelling function looks at one thing only - the terms
-of the claims, of the first claim, of the title, the abstract or the description, the applicant's name and address line,
-or the source - and gives one of a few outcomes for each subject. A latent model has, for each function, how often each
+of the claims, of the first claim, of the title, the abstract or the description, the applicant, who stands in for an
+address line (no column has one), or the source - and gives one of a few outcomes for each subject. A latent model has, for each function, how often each
 outcome comes with a true and with a false subject; it is fitted by expectation and maximisation, in which the hand
 labels are one more function, as some of them are wrong. Documents get the subjects whose posterior is high enough.
 """
@@ -253,7 +253,7 @@ class Subjects:
 
 
 def _lifts(rows: list[tuple], at: int, names: list[str]) -> dict:
-    """How many times as often as elsewhere each subject comes with a value, for values of enough documents."""
+    """How many times as often as elsewhere each subject comes with a value, smoothed by one label of the usual mix."""
     names = sorted(names)
     total, by = Counter(), defaultdict(Counter)
     for r in rows:
@@ -262,18 +262,18 @@ def _lifts(rows: list[tuple], at: int, names: list[str]) -> dict:
             if r[at] is not None:
                 by[r[at]][s] += 1
     n = sum(total.values())
-    return {v: np.array([(c[s] + total[s] / n) / (sum(c.values()) + 1) / max(total[s] / n, 1e-6) for s in names]) for v, c in by.items() if sum(c.values()) >= 20}
+    return {v: np.array([(c[s] + total[s] / n) / (sum(c.values()) + 1) / max(total[s] / n, 1e-6) for s in names]) for v, c in by.items()}
 
 
 def fit(rows: list[tuple[str, str, str, frozenset[str]]], names: list[str]) -> Subjects:
-    """A model from (text, source, applicant, subjects). Half of the documents teach the lexicon that judges the other half."""
+    """A model from (text, source, applicant, subjects). Half of the documents teach the lexicon and the lifts that judge the other half."""
     rows = [r for r in rows if r[0] and r[0].strip() and r[3]]
     texts = [(scope(sections(fold(r[0]))), r[3]) for r in rows]
-    sources, addresses = _lifts(rows, 1, names), _lifts(rows, 2, names)
-    final = Subjects(names, learn_lexicon(texts), sources, addresses)
+    final = Subjects(names, learn_lexicon(texts), _lifts(rows, 1, names), _lifts(rows, 2, names))
     xs, ys = [], []
     for half in (0, 1):
-        m = Subjects(names, learn_lexicon(texts[half::2]), sources, addresses)
+        own = rows[half::2]
+        m = Subjects(names, learn_lexicon(texts[half::2]), _lifts(own, 1, names), _lifts(own, 2, names))
         other = rows[1 - half :: 2]
         at, x = m.outcomes([r[0] for r in other], [r[1] for r in other], [r[2] for r in other])
         xs.append(x)
