@@ -27,6 +27,8 @@ RADIUS, LONG_FAMILY = 2, 6
 #: Pivots, and names of which they are chosen.
 PIVOTS, SAMPLE = 128, 600
 VOWELS = "aeiou"
+#: Words that a task remembers the given names of.
+MEMO = 200_000
 
 
 class GivenNames:
@@ -45,14 +47,17 @@ class GivenNames:
         self.by_initial: dict[str, list[str]] = {}
         for full in sorted(set(self.exact.values())):
             self.by_initial.setdefault(full[0], []).append(full)
-        self.known: dict[str, tuple[str, int] | None] = {}
-        self.tied: dict[str, list[str]] = {}
+        self.known: dict[str, tuple[tuple[str, int] | None, list[str]]] = {}
 
     def find(self, word: str) -> tuple[str, int] | None:
         """(given name, errors) if one and only one is nearest; short forms may have one error, full ones of seven letters two."""
+        return self.nearest(word)[0]
+
+    def nearest(self, word: str) -> tuple[tuple[str, int] | None, list[str]]:
+        """What ``find`` gives, and the given names that are equally near if there are several; a full memo only costs time."""
         if word in self.known:
             return self.known[word]
-        out = None
+        out, tied = None, []
         if word in self.exact:
             out = (self.exact[word], 0)
         elif len(word) >= 4:
@@ -60,12 +65,11 @@ class GivenNames:
                 hits = {full for (full, short), e in self.trie.search(word, self.automata[errors - 1]).items() if e == errors and not (short and e > 1)}
                 if hits:
                     out = (min(hits), errors) if len(hits) == 1 else None
-                    if out is None and len(self.tied) < 200_000:
-                        self.tied[word] = sorted(hits)
+                    tied = sorted(hits) if out is None else []
                     break
-        if len(self.known) < 200_000:
-            self.known[word] = out
-        return out
+        if len(self.known) < MEMO:
+            self.known[word] = (out, tied)
+        return out, tied
 
 
 def read_name(name: str, names: GivenNames) -> list[tuple[str, str]]:
@@ -93,10 +97,10 @@ def read_name(name: str, names: GivenNames) -> list[tuple[str, str]]:
         a, b = b, a
     if len(a) == 1 or len(b) == 1:
         return [(a, b)] if len(a) == 1 else [(b, a)]
-    first, second = names.find(a), names.find(b)
+    (first, tied_first), (second, tied_second) = names.nearest(a), names.nearest(b)
     if not first and not second:
-        for given, family in ((a, b), (b, a)):
-            if tied := names.tied.get(given):
+        for tied, family in ((tied_first, b), (tied_second, a)):
+            if tied:
                 return [(g, family) for g in tied]
     if turned and (first or not second):
         return [(first[0] if first else a, b)]
