@@ -42,11 +42,13 @@ def stitch_layout(frames: DataFrame, separator: int = SEPARATOR_PX) -> DataFrame
 def assign_regions(words: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """Words of stitched images with the image in whose part they lie: y_start <= avg_y < y_end; words between images are dropped.
 
-    Both have ``keys``, which name the stitched image, so the range is checked only within it. ``avg_y`` becomes relative to the image.
+    Both have ``keys``, which name the stitched image, so the range is checked only within it. ``avg_y`` and the edges
+    ``top_y`` and ``bottom_y``, as far as the words have them, become relative to the image.
     """
     r = regions.select(*keys, "image_id", "y_start", "y_end")
     hit = words.join(r, keys).filter((F.col("avg_y") >= F.col("y_start")) & (F.col("avg_y") < F.col("y_end")))
-    return hit.withColumn("avg_y", F.col("avg_y") - F.col("y_start")).drop("y_start", "y_end")
+    moved = {c: (F.col(c) - F.col("y_start")).cast(words.schema[c].dataType) for c in ("avg_y", "top_y", "bottom_y") if c in words.columns}
+    return hit.withColumns(moved).drop("y_start", "y_end")
 
 
 def bbox_window(words: DataFrame, images: DataFrame, padding: float = 0.02, least: float = 0.20) -> DataFrame:

@@ -9,13 +9,16 @@ from ..config import RowClustering
 from ..functions.text import crash_splits, held, is_numeric_token, strip
 from .words import is_score
 
+# Fixed value: the height of an image that isn't known.
+UNKNOWN_HEIGHT = 2400
+
 
 def _bands(height: Column | int, rows: RowClustering) -> tuple[Column, Column]:
     if isinstance(height, int):
         up, down = rows.bands(height)
         return F.lit(up), F.lit(down)
     a = rows.score_anchored
-    cut = lambda f: F.greatest(F.lit(1), (F.lit(f) * height).cast("int"))
+    cut = lambda f: F.greatest(F.lit(1), (F.lit(f) * F.coalesce(height, F.lit(UNKNOWN_HEIGHT))).cast("int"))
     return cut(a.up_band_fraction), cut(a.down_band_fraction)
 
 
@@ -31,12 +34,15 @@ def row_members(words: DataFrame, height: Column | int = 2400, rows: RowClusteri
 
     A score's row has all words that are no scores and whose centre is at most one band above or another below its own,
     bounds included; a word may be in several rows. The score itself is in its row, after words of the same place.
+    Each image is cut into strips as high as a band, so a score meets the words of two strips and not of its whole image.
+    A null height counts as UNKNOWN_HEIGHT.
     """
     flagged = held(words, is_score=is_score(F.col("text"), rows.min_score))
     up, down = _bands(height, rows)
-    anchors = flagged.filter("is_score").select("image_id", F.col("ord").alias("anchor_ord"), (F.col("avg_y") - up).alias("from_y"), (F.col("avg_y") + down).alias("to_y"))
-    others = flagged.filter("not is_score")
-    near = others.join(anchors, "image_id").filter("avg_y between from_y and to_y").drop("from_y", "to_y")
+    strip_of = lambda y: F.floor(y / (up + down))
+    anchors = flagged.filter("is_score").select("image_id", F.col("ord").alias("anchor_ord"), (F.col("avg_y") - up).alias("from_y"), (F.col("avg_y") + down).alias("to_y"), F.explode(F.sequence(strip_of(F.col("avg_y") - up), strip_of(F.col("avg_y") + down))).alias("strip"))
+    others = flagged.filter("not is_score").withColumn("strip", strip_of(F.col("avg_y")))
+    near = others.join(anchors, ["image_id", "strip"]).filter("avg_y between from_y and to_y").select(*flagged.columns, "anchor_ord")
     own = flagged.filter("is_score").withColumn("anchor_ord", F.col("ord"))
     every = near.unionByName(own)
     pos = F.expr("row_number() over (partition by image_id, anchor_ord order by avg_x, is_score, ord)")

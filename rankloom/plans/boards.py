@@ -78,7 +78,7 @@ def bounds_repair(spark: SparkSession, sf: str) -> DataFrame:
 def capture_players(spark: SparkSession, sf: str) -> DataFrame:
     """Players of all captures, from their annotations."""
     f = spark.read.parquet(f"{sf}/fixture.parquet")
-    w = words_of(f).join(f.select(F.col("capture_id").alias("image_id"), "image_height", "image_width"), "image_id").filter("image_height is not null")
+    w = words_of(f).join(f.select(F.col("capture_id").alias("image_id"), "image_height", "image_width"), "image_id")
     return extract_players(w, F.col("image_height"), F.col("image_width")).drop("candidates")
 
 
@@ -109,7 +109,7 @@ w AS (SELECT capture_id AS {key}, CAST(row_number() OVER (PARTITION BY capture_i
   {coordinate('min', 'x')} AS left_x, {coordinate('max', 'x')} AS right_x, {coordinate('min', 'y')} AS top_y, {coordinate('max', 'y')} AS bottom_y FROM we)"""
 
 
-def board(words: str = _WORDS, up: int | str = 50, down: int | str = 4, gap: int = 16, edges: bool = False) -> str:
+def board(words: str = _WORDS, up: int | str = 50, down: int | str = 4, gap: int | str = 16, edges: bool = False) -> str:
     """Common table expressions from words to players: m (members), r (read rows), pre and p. ``edges``: words may lack a box."""
     edge = "* REPLACE (coalesce(left_x, avg_x) AS left_x, coalesce(right_x, avg_x) AS right_x)" if edges else "*"
     return f"""
@@ -172,6 +172,9 @@ SELECT image_id, ord, text, avg_x, avg_y, list_min(list_transform(v, lambda p: c
     "bounds_repair": f"WITH {board()} SELECT image_id, anchor_ord, read_name, read_score, player_name, score FROM p WHERE score <> read_score",
 }
 QUERIES["capture_players"] = capture_players
-_CAPTURE_WORDS = f"""WITH {flat()} SELECT w.*, greatest(1, CAST(trunc(0.021 * CAST(image_height AS DOUBLE)) AS INTEGER)) AS up, greatest(1, CAST(trunc(0.002 * CAST(image_height AS DOUBLE)) AS INTEGER)) AS down
-FROM w JOIN fixture ON capture_id = image_id WHERE image_height IS NOT NULL"""
-SQL["capture_players"] = f"WITH {board(_CAPTURE_WORDS, up='a.up', down='a.down', edges=True)} SELECT image_id, anchor_ord, player_name, score FROM p"
+_TALL, _WIDE = "CAST(coalesce(image_height, 2400) AS DOUBLE)", "CAST(image_width AS DOUBLE)"
+_CAPTURE_WORDS = f"""WITH {flat()} SELECT w.*, greatest(1, CAST(trunc(0.021 * {_TALL}) AS INTEGER)) AS up, greatest(1, CAST(trunc(0.002 * {_TALL}) AS INTEGER)) AS down
+FROM w JOIN fixture ON capture_id = image_id"""
+# the gap between words follows the width of each image
+_CAPTURE_GAP = f"(SELECT CASE WHEN coalesce(image_width, 0) = 0 THEN 16 ELSE greatest(8, CAST(trunc(0.015 * {_WIDE}) AS INTEGER)) END FROM fixture WHERE capture_id = image_id)"
+SQL["capture_players"] = f"WITH {board(_CAPTURE_WORDS, up='a.up', down='a.down', edges=True, gap=_CAPTURE_GAP)} SELECT image_id, anchor_ord, player_name, score FROM p"

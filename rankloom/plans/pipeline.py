@@ -25,7 +25,7 @@ def process(captures: DataFrame, images: DataFrame | None = None, override: str
     if override is None or not override.strip():
         tabs = all_tabs(words, images) if images is not None else None
         classified = classify(words, tabs)
-    sized = words.join(sizes, "image_id").filter("height is not null")
+    sized = words.join(sizes, "image_id")
     # screens differ in how rows are read only if their settings do
     kinds: dict[RowClustering, list[str]] = {}
     for s in default_screens():

@@ -164,7 +164,9 @@ FROM customer""",
     "find_tab_region": """
 WITH r(category, left_x, top_y, right_x) AS (VALUES ('mutual_assistance', 8, 24, 58), ('siege', 68, 24, 88), ('rare_soil_war', 98, 24, 178), ('defeat', 188, 24, 208),
   ('daily', 8, 46, 28), ('weekly', 38, 46, 58), ('season', 68, 46, 148))
-SELECT c_custkey AS image_id, category, left_x, top_y, right_x, top_y + 4 AS bottom_y FROM customer, r WHERE c_custkey % 3 = 1""",
+SELECT c_custkey AS image_id, category, left_x, top_y, right_x, top_y + 4 AS bottom_y FROM customer, r WHERE c_custkey % 3 = 1
+UNION ALL SELECT c_custkey, category, left_x, top_y, right_x, top_y + 4 FROM customer, r WHERE c_custkey % 3 = 0 AND c_custkey // 3 % 4 >= 2 AND category IN ('daily', 'weekly')
+UNION ALL SELECT c_custkey, category, left_x, 4, right_x, 8 FROM customer, r WHERE c_custkey % 3 = 2 AND category = 'daily'""",
     "window_black_border": f"""
 SELECT capture_id AS image_id, CASE WHEN x = 0 AND y = 0 THEN NULL ELSE CAST(x AS INTEGER) END AS "left", CASE WHEN x = 0 AND y = 0 THEN NULL ELSE CAST(y AS INTEGER) END AS top,
   CASE WHEN x = 0 AND y = 0 THEN NULL ELSE CAST(w - x AS INTEGER) END AS "right", CASE WHEN x = 0 AND y = 0 THEN NULL ELSE CAST(h - y AS INTEGER) END AS bottom {_SIZES}""",

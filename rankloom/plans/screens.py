@@ -155,7 +155,7 @@ SQL = {
     "classify_captures": f"WITH {P.flat()}, {_rules('SELECT image_id, text FROM w')} SELECT category, rule, count(*) AS n FROM r GROUP BY ALL",
     "hsv_orange": _HSV + "SELECT p_partkey, round(h, 9) AS h, round(s, 9) AS s, round(v, 9) AS v, h BETWEEN 0.014 AND 0.153 AND s >= 0.40 AND v >= 0.55 AS orange FROM h",
     "brightness_argmax_gap": f"""
-WITH m AS (SELECT p_brand, concat('t', p_partkey % 7) AS label, max(greatest(r, g, b) / CAST(255 AS DOUBLE)) AS v FROM ({COLOURS}) AS t WHERE p_partkey % 11 = 0 GROUP BY ALL),
+WITH m AS (SELECT p_brand, concat('t', p_partkey % 7) AS label, max(greatest(r, g, b) / CAST(255 AS DOUBLE)) AS v FROM ({COLOURS}) AS t GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY v DESC, label DESC) AS rn, lead(v) OVER (PARTITION BY p_brand ORDER BY v DESC, label DESC) AS next FROM m)
 SELECT p_brand, label FROM k WHERE rn = 1 AND (next IS NULL OR v - next >= 0.004)""",
     "fixture_category": f"""

@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_KEY = "spark.checkpoint.dir"
+#: Folders written so far, by application.
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, which has no other
+    machine; on a cluster RuntimeError, as executors couldn't see a folder of the driver's."""
+    path = spark.conf.get(_KEY, None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{_KEY} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set(_KEY, path)
     return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(_clean, spark, app)
+    _written[app].append(path)
+    return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -34,3 +49,22 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all tables kept so far by this application, whose results must have been read or written by then; how many there were.
+
+    Called by itself when the driver's Python ends while its session still runs.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        drop(spark, p)
+    return len(paths)
+
+
+def _clean(spark: SparkSession, app: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+            clean(spark)
+    except Exception:  # the session has ended; nothing can be reached any more
+        pass
