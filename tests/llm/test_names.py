@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 
@@ -48,6 +49,17 @@ def test_rebuild_against_the_unicode_database(spark):
         assert plain(unicodedata.normalize("NFD", t)) == t
 
 
+def test_composition_of_bases_with_several_marks(spark):
+    """Every order of up to three marks on bases that compose with some of them, against the Unicode database."""
+    marks = ["\u0301", "\u0302", "\u0306", "\u031b", "\u0323", "\u0327", "\u0308"]
+    bases = ["a", "A", "e", "o", "u", "\u03b1", "x", "\u1100", "\uac00", "\u0438"]
+    texts = {b + "".join(m) for b in bases for n in (1, 2, 3) for m in itertools.permutations(marks, n)}
+    texts |= {"\u1100\u1161\u11a8\u0301", "\uac00\u11a8\u0301\u0323", "\u0301a", "a\u0323\u0302\u0301"}
+    got = {r.text: (r.plain, r.skeleton) for r in rebuild(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert len(texts) > 2000 and got == {t: (plain(t), skeleton(t)) for t in texts}
+    assert got["a\u0323\u0302\u0301"][0] == "\u1ead\u0301"
+
+
 ROSTER = "member_id long, player_name string, note string"
 ENTRIES = "entry_id long, player_name string, candidates array<struct<player_name:string,score:long>>, note int"
 
