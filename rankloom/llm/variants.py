@@ -3,11 +3,14 @@
 A typed name is read as a given and a family name (turned round, joined, with an initial, a short form or an
 abbreviated family name). Names read in full are points of a metric space under edit distance; each is assigned to
 its nearest pivot, copied to the cells that the triangle inequality can't rule out, and joined exactly within the cell.
-Linked points are a player. What isn't written in full is tied to the player that it fits best.
+Linked points are a player. Names whose given name is in no table are points of their own, in the order in which they
+are written and turned round. What isn't written in full is tied to the player that it fits best, by the same join over
+the forms of all players: the initial with the family name, and both names joined.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,8 +27,9 @@ from .components import components
 
 #: Edit distance within which two full names are one, and the least letters of a family name for it; 1 below that.
 RADIUS, LONG_FAMILY = 2, 6
-#: Pivots, and names of which they are chosen.
-PIVOTS, SAMPLE = 128, 600
+#: Pivots, and names of which they are chosen, at least and at most: pivots grow with the root of the largest server's
+#: names, so that neither the distances to pivots nor the cells grow faster than that.
+PIVOTS, SAMPLE = (16, 512), (600, 2048)
 VOWELS = "aeiou"
 #: Words that a task remembers the given names of.
 MEMO = 200_000
@@ -40,13 +44,11 @@ class GivenNames:
             self.exact[full.lower()] = full.lower()
         for nick, full in pairs:
             self.exact.setdefault(nick.lower(), full.lower())
+        self.givens = set(self.exact.values())
         self.trie = Trie()
         for word, full in self.exact.items():
             self.trie.add(word, (full, word != full))
         self.automata = (Automaton(1), Automaton(2))
-        self.by_initial: dict[str, list[str]] = {}
-        for full in sorted(set(self.exact.values())):
-            self.by_initial.setdefault(full[0], []).append(full)
         self.known: dict[str, tuple[tuple[str, int] | None, list[str]]] = {}
 
     def find(self, word: str) -> tuple[str, int] | None:
@@ -127,12 +129,47 @@ def consonants(word: str) -> str:
     return "".join(c for c in word if c not in VOWELS)
 
 
+#: Words of two letters or more that end in a full stop: an abbreviation, if it is the family name.
+_CUT = re.compile(r"([^\W\d_]{2,})\.(?!\w)")
 _READ = "server_id bigint, name string, n bigint, kind string, given string, family string, text string"
 
 
+def readings(name: str, names: GivenNames) -> list[tuple[str, str, str, str]]:
+    """(kind, given, family, text) of each way to read a name. Kinds:
+
+    ``full`` names of a known given name; ``part``, one of several known given names that may be meant, or a name of an unknown
+    given name; ``pair`` and ``turn``, a name of two unknown words as written and turned round; ``initial`` with the family
+    name; ``short``, a family name without vowels; ``cut``, one that ends in a full stop; ``odd``, no family name found.
+    """
+    found = read_name(name, names)
+    if not found or not found[0][0]:
+        return [("odd", "", "", "".join(c for c in plain(name).lower() if c.isalpha()) or plain(name))]
+    cut = {m.lower() for m in _CUT.findall(plain(name))}
+    sure = len(found) == 1 or found[0][1] != found[1][1]
+    unknown = len(found) == 2 and found[0] == found[1][::-1] and names.find(found[0][0]) is None and names.find(found[1][0]) is None
+    out = []
+    for k, (given, family) in enumerate(found):
+        text = f"{given} {family}"
+        if family in cut:
+            out.append(("cut", given, family, text))
+        elif not any(c in VOWELS for c in family):
+            out.append(("short", given, family, family))
+        elif len(given) == 1:
+            out.append(("initial", given, family, text))
+        elif unknown:
+            whole = not any(w in cut or not any(c in VOWELS for c in w) for w in (given, family))
+            out.append(("part", given, family, text))
+            if whole:
+                out.append(("pair" if k == 0 else "turn", given, family, text))
+        else:
+            out.append(("full" if k == 0 and sure and given in names.givens else "part", given, family, text))
+            if k == 0 and len(found) == 1 and given not in names.givens:
+                out.append(("pair", given, family, text))
+    return out
+
+
 def read_names(names: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """Rows of (server_id, name, n) read as ``full`` names, as ``part`` (a given name that an initial may stand for,
-    with the family name), as ``short`` (a family name without vowels in ``text``) or as ``odd`` (no family name found)."""
+    """Rows of (server_id, name, n) with a row for each of their ``readings``."""
     spark = names.sparkSession
     ready(spark)
     pairs = nicknames.select("nick", "full_given").filter("trim(nick) <> '' and trim(full_given) <> ''").limit(REFERENCE_ROWS + 1).collect()
@@ -141,26 +178,11 @@ def read_names(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast([tuple(p) for p in pairs])
     built: list[GivenNames] = []
 
-    def rows(server: int, name: str, n: int) -> Iterator[tuple]:
-        readings = read_name(name, built[0])
-        if not readings or not readings[0][0]:
-            yield server, name, n, "odd", "", "", " ".join(plain(name).lower().split())
-            return
-        sure = len(readings) == 1 or readings[0][1] != readings[1][1]
-        for k, (given, family) in enumerate(readings):
-            givens = built[0].by_initial.get(given, [given]) if len(given) == 1 else [given]
-            short = not any(c in VOWELS for c in family)
-            for g in givens:
-                if short:
-                    yield server, name, n, "short", g, family, family
-                else:
-                    yield server, name, n, "full" if len(given) > 1 and k == 0 and sure else "part", g, family, f"{g} {family}"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(GivenNames(shared.value))
         for batch in batches:
-            out = [r for s, x, n in zip(*(batch.column(i).to_pylist() for i in range(3))) for r in rows(s, x, n)]
+            out = [(s, x, n, *r) for s, x, n in zip(*(batch.column(i).to_pylist() for i in range(3))) for r in readings(x, built[0])]
             columns = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in _READ.split(", ")])
@@ -188,13 +210,16 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def choose_pivots(points: DataFrame, most: int = PIVOTS, sample: int = SAMPLE) -> list[str]:
-    """Up to ``most`` names, each as far as can be from those before, among a bounded sample that every run draws alike."""
-    names = [r.text for r in points.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
-    if not names:
+def choose_pivots(points: DataFrame, keys: tuple[str, ...] = ("server_id",)) -> list[str]:
+    """Names, each as far as can be from those before, among a bounded sample that every run draws alike."""
+    most = points.groupBy(*keys).count().agg(F.max("count").alias("n")).first().n
+    if not most:
         return []
+    wanted = min(PIVOTS[1], max(PIVOTS[0], 1 << round(math.log2(most) / 2)))
+    sample = min(SAMPLE[1], max(SAMPLE[0], 4 * wanted))
+    names = [r.text for r in points.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
     pivots, far = [names[0]], [edit_distance(names[0], x) for x in names]
-    while len(pivots) < most and max(far) > 2 * RADIUS:
+    while len(pivots) < wanted and max(far) > 2 * RADIUS:
         p = names[max(range(len(names)), key=far.__getitem__)]
         pivots.append(p)
         far = [min(d, edit_distance(p, x)) for d, x in zip(far, names)]
@@ -216,77 +241,174 @@ def cells(points: DataFrame, pivots: list[str], radius: int) -> DataFrame:
     return d.withColumn("cells", all_).drop("d", "least", "nearest")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: int, pivots: list[str]) -> DataFrame:
-    """(server_id, text, other, distance): all pairs of one server within ``radius``; both sides are distinct (server_id, text).
+def radius_join(left: DataFrame, right: DataFrame, radius: int, pivots: list[str], keys: tuple[str, ...] = ("server_id",)) -> DataFrame:
+    """(keys, text, other, distance): all pairs of equal keys within ``radius``; both sides are distinct (keys, text).
 
     The left name stays in its home cell, the right one is copied over boundaries, so each pair is met once.
     """
-    a = cells(spread(left, "server_id", "text"), pivots, radius).select("server_id", "text", F.inline("cells")).filter("home").select("server_id", "text", "cell")
-    b = cells(spread(right, "server_id", "text"), pivots, radius).hint("merge").select("server_id", F.col("text").alias("other"), F.inline("cells")).select("server_id", "other", "cell")
+    a = cells(spread(left, *keys, "text"), pivots, radius).select(*keys, "text", F.inline("cells")).filter("home").select(*keys, "text", "cell")
+    b = cells(spread(right, *keys, "text"), pivots, radius).hint("merge").select(*keys, F.col("text").alias("other"), F.inline("cells")).select(*keys, "other", "cell")
     distance = F.levenshtein("text", "other", radius)
-    return a.join(b, ["server_id", "cell"]).withColumn("distance", distance).filter("distance >= 0").select("server_id", "text", "other", "distance")
+    return a.join(b, [*keys, "cell"]).withColumn("distance", distance).filter("distance >= 0").select(*keys, "text", "other", "distance")
+
+
+def _family(text: str) -> Column:
+    return F.substring_index(text, " ", -1)
 
 
-def close_enough(distance: Column, text: Column, other: Column) -> Column:
-    family = F.least(F.length(F.substring_index(text, " ", -1)), F.length(F.substring_index(other, " ", -1)))
+def close_enough(distance: Column, text: str, other: str) -> Column:
+    """Whether two full names of known given names, or two initials with family names, may be one."""
+    family = F.least(F.length(_family(text)), F.length(_family(other)))
     return distance <= F.when(family >= LONG_FAMILY, RADIUS).otherwise(1)
 
 
-def players(names: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """(server_id, name, player): who is meant by each distinct name of a server; names that fit nobody are on their own."""
-    read = keep(read_names(spread(names, "server_id", "name"), nicknames), "read")
-    full = read.filter("kind = 'full'")
-    points = keep(full.groupBy("server_id", "text", "given", "family").agg(F.sum("n").alias("n")), "points")
+def words_agree(text: str, other: str) -> Column:
+    """Whether each of the two words of a name may be the other's: one error from four letters on, two from LONG_FAMILY on."""
+    out = F.lit(True)
+    for k in (1, -1):
+        a, b = F.substring_index(text, " ", k), F.substring_index(other, " ", k)
+        n = F.least(F.length(a), F.length(b))
+        out = out & (F.levenshtein(a, b) <= F.when(n >= LONG_FAMILY, 2).when(n >= 4, 1).otherwise(0))
+    return out
+
+
+def _id(c: str) -> Column:
+    return F.concat_ws("\t", "server_id", c)
+
+
+def linked_points(points: DataFrame, links: DataFrame) -> DataFrame:
+    """``points`` (server_id, text, ...) with ``player``, the least of the points that ``links`` (server_id, text, other) join."""
+    roots = components(links.select(_id("text").alias("a"), _id("other").alias("b")))
+    return keep(points.withColumn("node", _id("text")).join(roots, "node", "left").withColumn("player", F.coalesce("root", "node")).drop("root", "node"), "known")
+
+
+def _points(read: DataFrame, kind: str) -> DataFrame:
+    return keep(read.filter(F.col("kind") == kind).groupBy("server_id", "text", "given", "family").agg(F.sum("n").alias("n")), "points")
+
+
+def _best(candidates: DataFrame) -> DataFrame:
+    """(server_id, name, player): of the players that a name may mean, the nearest, then the largest."""
+    best = F.max_by("player", F.struct((-F.col("distance")).alias("near"), "size", "player"))
+    return candidates.groupBy("server_id", "name").agg(best.alias("player"))
+
+
+def _sized(known: DataFrame) -> DataFrame:
+    return known.join(known.groupBy("player").agg(F.sum("n").alias("size")), "player")
+
+
+def _known_names(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names tied to players of known given names, the points of those players)."""
+    points = _points(read, "full")
     pivots = choose_pivots(points)
+    texts = points.select("server_id", "text")
     if pivots:
-        probes = points.select("server_id", "text").unionByName(read.filter("kind = 'part'").select("server_id", "text")).distinct()
-        near = radius_join(probes, points.select("server_id", "text"), RADIUS, pivots)
-        near = keep(near.filter(close_enough(F.col("distance"), F.col("text"), F.col("other"))), "near")
+        probes = texts.unionByName(read.filter("kind = 'part'").select("server_id", "text")).distinct()
+        near = radius_join(probes, texts, RADIUS, pivots)
+        near = keep(near.filter(close_enough(F.col("distance"), "text", "other")), "near")
     else:
         near = points.select("server_id", "text", F.col("text").alias("other"), F.lit(0).alias("distance"))
-    id_ = lambda c: F.concat_ws("\t", "server_id", c)
-    between = near.join(points.select("server_id", "text"), ["server_id", "text"], "left_semi")
-    roots = components(between.select(id_("text").alias("a"), id_("other").alias("b")))
-    at = id_("text")
-    known = points.withColumn("node", at).join(roots, "node", "left").withColumn("player", F.coalesce("root", "node")).drop("root", "node")
-    known = keep(known, "known")
-    size = known.groupBy("player").agg(F.sum("n").alias("size"))
-    sized = known.join(size, "player")
-
-    own = full.join(known.select("server_id", "text", "player"), ["server_id", "text"]).select("server_id", "name", "player")
-    best = F.max_by("player", F.struct((-F.col("distance")).alias("near"), "size", "player"))
-    part = read.filter("kind = 'part'").select("server_id", "name", "text").join(near, ["server_id", "text"])
-    part = part.join(sized.select("server_id", F.col("text").alias("other"), "player", "size"), ["server_id", "other"]).select("server_id", "name", "player", "distance", "size")
-    key = F.regexp_replace("family", f"[{VOWELS}]", "")
-    short = read.filter("kind = 'short'").select("server_id", "name", "given", F.col("family").alias("key"))
-    short = short.join(sized.withColumn("key", key).select("server_id", "given", "key", "player", "size").distinct(), ["server_id", "given", "key"])
-    short = short.select("server_id", "name", "player", F.lit(0).alias("distance"), "size")
-    tied = part.unionByName(short).join(own.select("server_id", "name"), ["server_id", "name"], "left_anti").groupBy("server_id", "name").agg(best.alias("player"))
-    found = keep(own.unionByName(tied), "players")
+    known = linked_points(points, near.join(texts, ["server_id", "text"], "left_semi"))
+    own = read.filter("kind = 'full'").join(known.select("server_id", "text", "player"), ["server_id", "text"]).select("server_id", "name", "player")
+    part = read.filter("kind = 'part'").join(own.select("server_id", "name"), ["server_id", "name"], "left_anti")
+    part = part.select("server_id", "name", "text").join(near, ["server_id", "text"])
+    part = part.join(_sized(known).select("server_id", F.col("text").alias("other"), "player", "size"), ["server_id", "other"])
+    return keep(own.unionByName(_best(part)), "players"), known
+
+
+def _unknown_names(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for names of two words of which no table knows either, among themselves, as written and turned round."""
+    points = _points(left, "pair")
+    texts = points.select("server_id", "text")
+    pivots = choose_pivots(points)
+    if pivots:
+        turned = left.filter("kind = 'turn'").select("server_id", "text", F.concat_ws(" ", "family", "given").alias("own")).distinct()
+        near = radius_join(texts.unionByName(turned.select("server_id", "text")).distinct(), texts, RADIUS, pivots)
+        near = keep(near.filter(words_agree("text", "other")).select("server_id", "text", "other"), "near")
+        links = near.join(texts, ["server_id", "text"], "left_semi").unionByName(near.join(turned, ["server_id", "text"]).select("server_id", F.col("own").alias("text"), "other"))
+    else:
+        links = texts.withColumn("other", F.col("text"))
+    known = linked_points(points, links)
+    return left.filter("kind = 'pair'").join(known.select("server_id", "text", "player"), ["server_id", "text"]).select("server_id", "name", "player"), known
+
+
+def _not_in_full(left: DataFrame, known: DataFrame) -> DataFrame:
+    """(server_id, name, player) of names with an initial, a joined or an abbreviated name, tied to the player that they fit best."""
+    sized = _sized(known).select("server_id", "given", "family", "player", "size")
+    initial = F.substring("given", 1, 1)
+    forms = F.array(F.struct(initial.alias("mark"), F.concat_ws(" ", initial, "family").alias("form")), *[F.struct(F.lit("").alias("mark"), F.concat(a, b).alias("form")) for a, b in (("given", "family"), ("family", "given"))])
+    # a player's largest form counts; forms of letters that no name needs aren't joined
+    probes = left.filter("kind in ('initial', 'odd')").select("server_id", "name", F.when(F.col("kind") == "initial", F.col("given")).otherwise("").alias("mark"), "text")
+    probes = keep(probes, "probes")
+    every = sized.select("server_id", "player", "size", F.inline(forms)).withColumnRenamed("form", "text").join(probes.select("server_id", "mark").distinct(), ["server_id", "mark"], "left_semi")
+    every = keep(every.groupBy("server_id", "mark", "text", "player").agg(F.max("size").alias("size")), "forms")
+    keys = ("server_id", "mark")
+    pivots = choose_pivots(every.select(*keys, "text").distinct(), keys)
+    near = None
+    if pivots:
+        near = radius_join(probes.select(*keys, "text").distinct(), every.select(*keys, "text").distinct(), RADIUS, pivots, keys)
+        near = near.filter((F.col("mark") == "") | close_enough(F.col("distance"), "text", "other"))
+        near = probes.join(near, [*keys, "text"]).join(every.withColumnRenamed("text", "other"), [*keys, "other"]).select("server_id", "name", "player", "distance", "size")
+    bare = F.regexp_replace("family", f"[{VOWELS}]", "")
+    short = left.filter("kind = 'short'").select("server_id", "name", "given", F.col("family").alias("key"))
+    first = sized.select("server_id", F.explode(F.array_distinct(F.array("given", initial))).alias("given"), "family", "player", "size")
+    short = short.join(first.select("server_id", "given", bare.alias("key"), "player", "size").distinct(), ["server_id", "given", "key"]).select("server_id", "name", "player", F.lit(0).alias("distance"), "size")
+    head = lambda c: F.substring(c, 1, 2)
+    cut = left.filter("kind = 'cut'").select("server_id", "name", "given", F.col("family").alias("begin"), head("family").alias("head"))
+    cut = cut.join(first.withColumn("head", head("family")), ["server_id", "given", "head"]).filter(F.startswith("family", "begin") | F.startswith(bare, F.col("begin")))
+    tied = short.unionByName(cut.select("server_id", "name", "player", F.lit(0).alias("distance"), "size"))
+    return _best(tied if near is None else near.unionByName(tied))
+
+
+def players(names: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """(server_id, name, player): who is meant by each distinct name of a server; names that fit nobody are on their own."""
+    read = keep(read_names(spread(names, "server_id", "name"), nicknames), "read")
+    by = ["server_id", "name"]
+    found, known = _known_names(read)
+    left = keep(read.join(found, by, "left_anti"), "left")
+    own, more = _unknown_names(left)
+    found = keep(found.unionByName(own), "players")
+    rest = left.join(found, by, "left_anti")
+    found = keep(found.unionByName(_not_in_full(rest, known.unionByName(more))), "players")
     # names that fit no full one are linked with what is written alike
-    alone = read.join(found, ["server_id", "name"], "left_anti").groupBy("server_id", "name").agg(F.min(F.concat_ws("\t", "server_id", "kind", "given", "family", "text")).alias("player"))
+    alone = read.join(found, by, "left_anti").groupBy(*by).agg(F.min(F.concat_ws("\t", "server_id", "kind", "given", "family", "text")).alias("player"))
     return found.unionByName(alone)
 
 
+def members(entries: DataFrame, nicknames: DataFrame, mode: str = "typed") -> DataFrame:
+    """(player, entry_id, name): the player that each entry typed by a person means; players of different servers differ.
+
+    Null and blank names, entries without a server and without an id are left out.
+    """
+    typed = entries.filter(F.col("entry_mode") == mode).filter("trim(player_name) <> '' and server_id is not null and entry_id is not null")
+    typed = typed.select("entry_id", F.col("server_id").cast("bigint").alias("server_id"), F.col("player_name").alias("name"))
+    names = typed.groupBy("server_id", "name").agg(F.count("*").alias("n"))
+    return typed.join(players(names, nicknames), ["server_id", "name"]).select("player", "entry_id", "name")
+
+
 def variants(entries: DataFrame, nicknames: DataFrame, mode: str = "typed") -> DataFrame:
     """(entry_id_a, entry_id_b): entries of one server typed by people that mean the same player under unequal strings.
 
     Null and blank names, entries without a server and without an id are linked with nothing. The same string twice is
     no pair, but both entries are linked with every other spelling.
     """
-    typed = entries.filter(F.col("entry_mode") == mode).filter("trim(player_name) <> '' and server_id is not null and entry_id is not null")
-    typed = typed.select("entry_id", F.col("server_id").cast("bigint").alias("server_id"), F.col("player_name").alias("name"))
-    names = typed.groupBy("server_id", "name").agg(F.count("*").alias("n"))
-    meant = players(names, nicknames)
-    who = keep(typed.join(meant, ["server_id", "name"]).select("player", "entry_id", "name"), "who")
+    who = keep(members(entries, nicknames, mode), "who")
     a = who.select("player", F.col("entry_id").alias("entry_id_a"), F.col("name").alias("name_a"))
     b = who.select("player", F.col("entry_id").alias("entry_id_b"), F.col("name").alias("name_b"))
     return a.join(b, "player").filter("entry_id_a < entry_id_b and name_a <> name_b").select("entry_id_a", "entry_id_b")
 
 
+def _tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("player_entry", "nickname")]
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return variants(spark.read.parquet(f"{sf}/player_entry.parquet"), spark.read.parquet(f"{sf}/nickname.parquet"))
+    return variants(*_tables(spark, sf))
+
+
+def p4_players(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each typed entry with its player: linear in the entries, however many spellings a player has."""
+    return members(*_tables(spark, sf)).select("entry_id", "player")
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {"p4_found": p4_found, "p4_players": p4_players}
 SQL: dict[str, str] = {}

@@ -9,7 +9,7 @@ from rankloom.llm.canonical import Reference, paths, to_members, values
 from rankloom.llm.characters import plain, skeleton
 from rankloom.llm.components import components
 from rankloom.llm.lookalike import rebuild, same_look
-from rankloom.llm.variants import GivenNames, edit_distance, radius_join, read_name, variants
+from rankloom.llm.variants import GivenNames, edit_distance, members, radius_join, read_name, variants
 
 
 def distance(a, b, swaps=True):
@@ -116,6 +116,21 @@ def test_variants(spark):
     assert variants(df.limit(0), nicks).count() == 0
 
 
+def test_variants_of_given_names_that_no_table_knows(spark):
+    """Initials, turned, joined, misspelt and abbreviated names of players whose given names aren't among the short forms."""
+    people = [("Bartholomew", "Thousmonas"), ("Benedikt", "Oakley"), ("Wilhelmina", "Gritigeind"), ("Gustav", "Prestorim")]
+    spelt = lambda g, f: [f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{f} {g}", f"{g}{f}", f"{g}{f}".lower(), f"{g[:3]}{g[4:]} {f}", f"{f[:4]}{f[5:]} {g}", f"{g} {f[:4]}.", f"{f}, {g[0]}."]
+    rows = [(100 * k + i, n, 7, "typed") for k, (g, f) in enumerate(people) for i, n in enumerate(spelt(g, f))]
+    rows += [(900, "Gertraud Thousmonas", 7, "typed"), (901, "Bartholomew Thousmonas", 8, "typed")]
+    df = spark.createDataFrame(rows, "entry_id long, player_name string, server_id int, entry_mode string")
+    nicks = spark.createDataFrame([("Bob", "Boromir"), ("Will", "Wolfram")], "nick string, full_given string")
+    got = {tuple(r) for r in variants(df, nicks).collect()}
+    want = {(100 * k + i, 100 * k + j) for k in range(len(people)) for i in range(10) for j in range(i + 1, 10) if rows[10 * k + i][1] != rows[10 * k + j][1]}
+    assert got - want == set() and len(got & want) >= 0.9 * len(want), sorted(want - got)
+    of = {r.entry_id: r.player for r in members(df, nicks).collect()}
+    assert len(of) == len(rows) and {(a, b) for a in of for b in of if a < b and of[a] == of[b] and rows[0]} >= got
+
+
 def test_radius_join_loses_no_pair(spark):
     words = sorted(set(random_words(120, "abcde", 9, 8)) - {""})
     df = spark.createDataFrame([(1, w) for w in words], "server_id long, text string")
