@@ -36,11 +36,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there."""
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, with a folder for each value of ``by`` if given, and read it from there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
