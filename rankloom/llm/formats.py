@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from ..operators.skew import join_to_unique
 from ..scratch import keep
 
 FIELDS = ("player_name", "score", "category", "source_file")
-#: Bits of the merged filters: about so many for a row, a power of two, within these bounds (64 MB at most, the size that is broadcast).
+#: Bits of a merged filter: about so many for a row, a power of two, within these bounds (64 MB at most, the size that is broadcast).
+#: More rows than that are split into ranges of their hashes, each with a filter of its own.
 BITS_A_ROW, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 SEGMENT_BITS = 1 << 16
 PROBES = 4
@@ -138,31 +141,43 @@ def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def filter_bits(rows: int) -> int:
-    bits = LEAST_BITS
-    while bits < rows * BITS_A_ROW and bits < MOST_BITS:
-        bits *= 2
-    return bits
+def filter_bits(rows: int) -> tuple[int, int]:
+    """(bits of a filter, number of ranges of hashes), so that a filter has about BITS_A_ROW bits for each row, however many there are."""
+    bits, ranges = LEAST_BITS, 1
+    while bits * ranges < rows * BITS_A_ROW:
+        bits, ranges = (bits * 2, 1) if bits < MOST_BITS else (bits, ranges * 2)
+    return bits, ranges
 
 
 def split_repeats(df: DataFrame, payload: str = "payload", row_id: str = "raw_id") -> tuple[DataFrame, DataFrame, int]:
     """(possible repeats, records surely met once, number of rows): both with the id and the record's ``key``.
 
-    The possible repeats, with every true one among them, are kept in the shared folder; the others are never shuffled.
+    Payloads are parsed once: ids, keys and hashes are kept in the shared folder, by range of the hash, and each range is
+    marked with its own filter. The possible repeats have every true one among them; the others are never shuffled.
     """
     spark = df.sparkSession
     ready(spark)
     total = df.count()
-    bits = filter_bits(total)
+    bits, ranges = filter_bits(total)
     hashed = keyed(df, payload, row_id).withColumn("hash", F.xxhash64("key"))
-    again = spark.sparkContext.broadcast(repeat_filter(hashed.select("hash"), bits))
+    hashed = hashed.withColumn("span", F.shiftrightunsigned("hash", 65 - ranges.bit_length()).cast("int") if ranges > 1 else F.lit(0))
+    hashed = keep(hashed, "keys", by="span")
+    parts = []
+    for r in range(ranges):
+        own = hashed.filter(F.col("span") == r)
+        parts.append(_marked(own, spark.sparkContext.broadcast(repeat_filter(own.select("hash"), bits)), bits).select(row_id, "key", "maybe"))
+        if ranges > 1:  # written range by range, so that one filter at a time is held
+            parts[-1] = keep(parts[-1], "marked")
+    marked = reduce(DataFrame.unionByName, parts)
+    return keep(marked.filter("maybe").drop("maybe"), "repeats"), marked.filter("not maybe").drop("maybe"), total
+
 
+def _marked(hashed: DataFrame, again: Broadcast, bits: int) -> DataFrame:
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(_has(again.value, _positions(h.to_numpy(), bits)))
 
-    marked = hashed.withColumn("maybe", maybe("hash")).select(row_id, "key", "maybe")
-    return keep(marked.filter("maybe").drop("maybe"), "repeats"), marked.filter("not maybe").drop("maybe"), total
+    return hashed.withColumn("maybe", maybe("hash"))
 
 
 def collapse(df: DataFrame, payload: str = "payload", row_id: str = "raw_id") -> DataFrame:

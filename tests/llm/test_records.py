@@ -88,6 +88,21 @@ def test_formats(spark):
     assert copies(df.limit(0)).count() == 0 and collapse(df.limit(0)).count() == 0
 
 
+def test_ranges_of_hashes_shuffle_few_that_are_met_once(spark, monkeypatch):
+    """A cap far below what one filter would need: the rows go to ranges, the result stays and few single records are shuffled."""
+    from rankloom.llm import formats as R
+
+    rows = [(i, f"player_name: p{i % 8500}; score: {i % 8500}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "raw_id long, payload string").repartition(3)
+    monkeypatch.setattr(R, "MOST_BITS", 1 << 16)
+    assert R.filter_bits(9000) == (1 << 16, 4) and R.filter_bits(0) == (1 << 16, 1)
+    repeats, once, total = R.split_repeats(df)
+    assert total == 9000 and repeats.count() + once.count() == 9000
+    assert 0 <= repeats.count() - 1000 < 0.05 * 8000
+    assert {tuple(r) for r in copies(df).collect()} == {(i, i + 8500) for i in range(500)}
+    assert Counter(r.n_copies for r in collapse(df).collect()) == {2: 500, 1: 8000}
+
+
 def test_filter_has_every_repeat(spark):
     rnd = np.random.default_rng(1)
     once, twice = rnd.integers(-(1 << 62), 1 << 62, 2000), rnd.integers(-(1 << 62), 1 << 62, 300)
