@@ -2,16 +2,20 @@
 
 Every accepted capture has one row for each of its keys: its digest, and five interleaved parts of its
 fingerprint, of which two fingerprints that differ in at most four bits share at least one. The rows lie in
-sorted runs below ranges of keys in the shared folder. A batch is sorted by the same keys, meets only the
-windows of equal keys around its own records, and is then added as a run; runs are compacted now and then.
-A window that would hold too many fingerprints is narrowed by keys of the remaining bits, found the same way,
-so no pair is lost and no window grows with the history.
+runs sorted by key, cut into key ranges in the shared folder. A batch reads only the ranges in which its own keys
+lie, with the keys' bounds pushed down to the scan, meets the windows of equal keys there, and is then added as a run;
+when there are more than RUNS runs of a level, they are merged into one of the next, so a row is rewritten no
+more often than there are levels. A window that would hold too many fingerprints is narrowed by keys of the remaining
+bits, found the same way, so no pair is lost and no window grows with the history.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +30,12 @@ KEYS = MOST_BITS + 1
 DIGEST = KEYS  # the key's number of the digest
 #: Fingerprints in a window before it is narrowed, and how often it may be narrowed.
 WINDOW, DEPTH = 256, 3
-#: Key ranges of a run, and runs before they are compacted.
-RANGES, RUNS = 8, 4
+#: Rows of a key range of a run, about, the most bits that choose a range, and the most bounds pushed down to a scan.
+SPAN_ROWS, SPAN_BITS, PUSHED = 1 << 16, 15, 64
+#: Runs of a level before they are compacted.
+RUNS = 4
+#: Share of the open captures that a round of thinning must settle to be followed by another.
+THINNED = 0.1
 #: Open captures and links among them up to which one task settles the rest.
 SETTLED, SETTLED_LINKS = 20_000, 200_000
 #: Slices in which p1_found lets a table arrive: more than RUNS, so that runs are compacted and read again.
@@ -73,6 +81,11 @@ def _paths(depth: int) -> list[tuple[list[int], list[int]]]:
     return out
 
 
+def _numbered(number: int, hashed: Column) -> Column:
+    """A stored key: its number in front of 60 bits of a hash, so that one sorted column serves all numbers."""
+    return F.lit(number << 60).bitwiseOR(F.shiftrightunsigned(hashed, 4))
+
+
 def _part_keys(depth: int) -> Column:
     """An array of (number, key): the parts below path ``number``, each with the key of the window around it."""
     masks = [_masks(part) for part, _ in _paths(depth)]
@@ -81,14 +94,15 @@ def _part_keys(depth: int) -> Column:
     for k in range(KEYS):
         path = (F.col("number") * KEYS + k) if depth > 1 else F.lit(k)
         above = [F.col("key")] if depth > 1 else []
-        key = F.xxhash64(*above, path, F.col("high").bitwiseAND(F.get(high, path)), F.col("low").bitwiseAND(F.get(low, path)))
+        hashed = F.xxhash64(*above, path, F.col("high").bitwiseAND(F.get(high, path)), F.col("low").bitwiseAND(F.get(low, path)))
+        key = hashed if above else _numbered(k, hashed)
         out.append(F.struct(path.cast("int").alias("number"), key.alias("key")))
     return F.array(*out)
 
 
 def first_keys() -> Column:
     """An array of (number, key) for the digest and the parts of the fingerprint, as far as they are there."""
-    own = F.when(F.col("digest").isNotNull(), F.array(F.struct(F.lit(DIGEST).alias("number"), F.xxhash64("digest").alias("key"))))
+    own = F.when(F.col("digest").isNotNull(), F.array(F.struct(F.lit(DIGEST).alias("number"), _numbered(DIGEST, F.xxhash64("digest")).alias("key"))))
     none = F.array().cast("array<struct<number:int,key:bigint>>")
     return F.concat(F.when(F.col("high").isNotNull(), _part_keys(1)).otherwise(none), F.coalesce(own, none))
 
@@ -98,8 +112,9 @@ def _near(a: str, b: str) -> Column:
     return bits <= MOST_BITS
 
 
-def near_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(node, other): near pairs of a new fingerprint and any one in the same window; both have fp, high, low, number, key.
+def near_pairs(new: DataFrame, old: DataFrame, *more: str) -> DataFrame:
+    """(node, other, and ``more`` columns of ``old``): near pairs of a new fingerprint and any one in the same window; both have
+    fp, high, low, number, key.
 
     Windows of more than WINDOW fingerprints are narrowed by parts of the bits that their key leaves open.
     Pairs found in several windows come several times.
@@ -107,62 +122,107 @@ def near_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
     out = None
 
     def within(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.alias("a").join(b.alias("b"), ["number", "key"]).filter(_near("a", "b")).select(F.col("a.fp").alias("node"), F.col("b.fp").alias("other"))
+        both = a.alias("a").join(b.alias("b"), ["number", "key"]).filter(_near("a", "b"))
+        return both.select(F.col("a.fp").alias("node"), F.col("b.fp").alias("other"), *[F.col(f"b.{c}") for c in more])
 
     for depth in range(1, DEPTH + 1):
+        wide = None
         if depth < DEPTH:
             sizes = old.groupBy("number", "key").agg(F.count("*").alias("n")).filter(F.col("n") > WINDOW).drop("n")
-            wide = keep(sizes.join(new.select("number", "key").distinct(), ["number", "key"], "left_semi"), "wide")
-            last = wide.isEmpty()
-        else:
-            last = True
-        if last:
+            if not sizes.isEmpty():
+                wide = keep(sizes.join(new.select("number", "key").distinct(), ["number", "key"], "left_semi"), "wide")
+        if wide is None:
             found = within(new, old)
             return found if out is None else out.unionByName(found)
         found = within(new.join(wide, ["number", "key"], "left_anti"), old.join(wide, ["number", "key"], "left_anti"))
         out = found if out is None else out.unionByName(found)
-        deeper = lambda d: keep(d.join(wide, ["number", "key"], "left_semi").select("fp", "high", "low", F.inline(_part_keys(depth + 1))), "narrow")  # noqa: B023, E731
-        new, old = deeper(new), deeper(old)
+
+        def deeper(d: DataFrame, *c: str) -> DataFrame:
+            return keep(d.join(wide, ["number", "key"], "left_semi").select("fp", "high", "low", *c, F.inline(_part_keys(depth + 1))), "narrow")  # noqa: B023
+
+        new, old = deeper(new), deeper(old, *more)
     return out
 
 
+@dataclass(frozen=True)
+class Run:
+    """A sorted run: its folder, the bits of a key that choose its range, and how often its rows have been merged."""
+
+    path: str
+    bits: int
+    level: int
+
+
+def _either(conditions: list[Column]) -> Column:
+    """A balanced tree of alternatives."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return _either(conditions[:half]) | _either(conditions[half:])
+
+
 class History:
     """All accepted captures, as sorted runs of keys in the shared folder."""
 
+    SCHEMA = "key bigint, id bigint, digest string, high bigint, low bigint, span int"
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.folder = new_path(spark, "history")
-        self.runs: list[str] = []
+        self.runs: list[Run] = []
         self.made = 0
 
-    SCHEMA = "key bigint, id bigint, rank struct<late:boolean,batch:bigint,id:bigint>, digest string, high bigint, low bigint, number int, span int"
-
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.folder}/run-{self.made:06d}"
+    def _write(self, rows: DataFrame, n: int, level: int) -> Run:
+        """A run of about ``n`` rows: as many ranges, and tasks, as these rows fill."""
+        bits = min(SPAN_BITS, max(0, math.ceil(math.log2(max(1, n) / SPAN_ROWS))))
+        run = Run(f"{self.folder}/run-{self.made:06d}", bits, level)
         self.made += 1
-        spanned = rows.withColumn("span", F.pmod(F.shiftright("key", 48), F.lit(RANGES)).cast("int"))
-        columns = ["key", "id", "rank", "digest", "high", "low", "number", "span"]
-        (spanned.repartition(RANGES, "number", "span").sortWithinPartitions("number", "span", "key").select(*columns).write.partitionBy("number", "span").parquet(path))
-        return path
+        spanned = rows.withColumn("span", F.shiftrightunsigned("key", 63 - bits).cast("int") if bits else F.lit(0))
+        spanned.repartition(1 << bits, "span").sortWithinPartitions("span", "key").write.partitionBy("span").parquet(run.path)
+        return run
+
+    def _read(self, run: Run) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(run.path)
 
-    def rows(self) -> DataFrame | None:
+    def add(self, accepted: DataFrame) -> None:
+        """Add a run of accepted captures (id, digest, high, low); more than RUNS of a level are merged into one of the next."""
+        keyed = accepted.select("id", "digest", "high", "low", F.inline(first_keys()))
+        rows = keyed.select("key", "id", F.when(F.col("number") == DIGEST, F.col("digest")).alias("digest"), *[F.when(F.col("number") < DIGEST, F.col(c)).alias(c) for c in ("high", "low")])
+        self.runs.append(self._write(rows, accepted.count() * (KEYS + 1), 0))
+        level = 0
+        while len(full := [r for r in self.runs if r.level == level]) > RUNS:
+            every = reduce(DataFrame.unionByName, [self._read(r).drop("span") for r in full])
+            merged = self._write(every, every.count(), level + 1)
+            self.runs = [r for r in self.runs if r.level != level] + [merged]
+            for r in full:
+                drop(self.spark, r.path)
+            level += 1
+
+    def scan(self, keys: DataFrame) -> DataFrame | None:
+        """The stored rows in the ranges in which ``keys`` (key) lie: folders of other ranges aren't listed, and the bounds of the
+        keys are pushed down as far as they are few. Null without history."""
         if not self.runs:
             return None
+        span = F.shiftrightunsigned("key", 63 - SPAN_BITS).cast("int")
+        bounds = [tuple(r) for r in keys.groupBy(span.alias("s")).agg(F.min("key"), F.max("key")).collect()]  # at most 2 ** SPAN_BITS
         out = None
-        for r in self.runs:
-            d = self.spark.read.schema(self.SCHEMA).parquet(r)
-            out = d if out is None else out.unionByName(d)
+        for run in self.runs:
+            own: dict[int, tuple[int, int]] = {}
+            for s, low, high in bounds:
+                at = s >> (SPAN_BITS - run.bits)
+                own[at] = (min(low, own[at][0]), max(high, own[at][1])) if at in own else (low, high)
+            rows = self._read(run).filter(F.col("span").isin(list(own)) if own else F.lit(False))
+            pushed = [(low, high) for _, low, high in bounds] if len(bounds) <= PUSHED else list(own.values())
+            if 0 < len(pushed) <= PUSHED:
+                rows = rows.filter(_either([F.col("key").between(low, high) for low, high in sorted(pushed)]))
+            rows = rows.drop("span")
+            out = rows if out is None else out.unionByName(rows)
         return out
 
-    def add(self, accepted: DataFrame) -> None:
-        """Add a run of accepted captures; RUNS of them are merged into one."""
-        rows = accepted.select("id", "rank", "digest", "high", "low", F.inline(first_keys()))
-        self.runs.append(self._write(rows))
-        if len(self.runs) > RUNS:
-            merged = self._write(self.rows())
-            old, self.runs = self.runs, [merged]
-            for r in old:
-                drop(self.spark, r)
+    def touched(self, keys: DataFrame) -> DataFrame | None:
+        """The stored rows with any of ``keys``, each with its number."""
+        rows = self.scan(keys)
+        return None if rows is None else rows.join(keys, "key", "left_semi").withColumn("number", F.shiftrightunsigned("key", 60).cast("int"))
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Accept or refuse the captures of one or more batches that arrive after all earlier ones.
@@ -172,48 +232,74 @@ class History:
         """
         rank = F.struct(F.col("batch").isNull().alias("late"), F.col("batch"), F.col("id"))
         fp = F.when(F.col("high").isNotNull(), F.struct("high", "low"))
-        batch = keep(batch.withColumn("rank", rank).withColumn("fp", fp), "batch")
+        batch = batch.withColumn("rank", rank).withColumn("fp", fp)
         # captures of the same digest and fingerprint stand or fall together: the earliest speaks for them
         nodes = batch.groupBy("digest", "fp").agg(F.min("rank").alias("rank"))
         nodes = keep(nodes.select(F.col("rank.id").alias("node"), "rank", "digest", "fp", F.col("fp.high"), F.col("fp.low")), "nodes")
+        new = keep(nodes.filter("fp is not null").select("fp", "high", "low").distinct().select("fp", "high", "low", F.inline(_part_keys(1))), "new")
 
-        prints = nodes.filter("fp is not null").select("fp", "high", "low").distinct()
-        new = keep(prints.select("fp", "high", "low", F.inline(_part_keys(1))), "new")
-        history = self.rows()
-        every = new
-        if history is not None:
-            touched = history.filter(F.col("number") < DIGEST).join(new.select("number", "key").distinct(), ["number", "key"], "left_semi")
-            past = touched.select(F.struct("high", "low").alias("fp"), "high", "low", "number", "key")
-            every = keep(new.unionByName(past).distinct(), "windows")
-        near = keep(near_pairs(new, every).distinct(), "near")  # has each (fp, fp) itself
-
-        # what each node repeats: accepted history by digest, by near fingerprint, and earlier nodes of the batch
-        links = near.withColumnRenamed("other", "to")
-        if history is not None:
-            by_digest = history.filter(F.col("number") == DIGEST).select("digest", F.col("id").alias("first"), "rank")
-            by_fp = history.filter(F.col("number") == 0).select(F.struct("high", "low").alias("to"), F.col("id").alias("first"), "rank")
-            past_hit = (
-                nodes.select("node", "digest").join(by_digest, "digest").select("node", "first")
-                .unionByName(nodes.select("node", "fp").join(links.withColumnRenamed("node", "fp"), "fp").join(by_fp, "to").select("node", "first"))
-                .groupBy("node").agg(F.min("first").alias("first"))
-            )
-            open_ = keep(nodes.join(past_hit, "node", "left_anti"), "open")
+        # what each node repeats of the history: the least id by digest and by near fingerprint
+        keys = new.select("key").unionByName(nodes.filter("digest is not null").select(_numbered(DIGEST, F.xxhash64("digest")).alias("key"))).distinct()
+        past = self.touched(keys)
+        if past is None:
+            seen = nodes.withColumn("past", F.lit(None).cast("bigint"))
         else:
-            past_hit, open_ = None, nodes
+            past = keep(past, "touched")
+            prints = past.filter(F.col("number") < DIGEST).withColumn("fp", F.struct("high", "low"))
+            by_fp = near_pairs(new, prints, "id").groupBy(F.col("node").alias("fp")).agg(F.min("id").alias("past_f"))
+            by_digest = past.filter(F.col("number") == DIGEST).groupBy("digest").agg(F.min("id").alias("past_d"))
+            seen = nodes.join(by_fp, "fp", "left").join(by_digest, "digest", "left").withColumn("past", F.least("past_f", "past_d")).drop("past_f", "past_d")
+            seen = keep(seen, "seen")
+        open_ = seen.filter("past is null").drop("past")
+        first, open_ = self._thin(open_, new)
+        standing = open_.select("fp") if first is None else open_.select("fp").unionByName(first.select("fp"))
+        windows = new.join(standing.filter("fp is not null").distinct(), "fp", "left_semi")
+        links = keep(near_pairs(new, windows).distinct(), "near").withColumnRenamed("other", "to")  # has each standing (fp, fp) itself
         accepted = self._settle(open_, links)
-        # the smallest accepted id that each refused one repeats
-        now = accepted.select("digest", F.col("fp").alias("to"), F.col("node").alias("first"), F.col("rank").alias("first_rank"))
-        hits = batch.select("id", "rank", "digest").join(now.filter("digest is not null").select("digest", "first", "first_rank"), "digest")
-        hits = hits.filter("first_rank < rank").select("id", "first")
-        spread = batch.filter("fp is not null").select("fp").distinct().join(links.withColumnRenamed("node", "fp"), "fp").join(now.filter("to is not null").select("to", "first", "first_rank"), "to").select("fp", "first", "first_rank")
-        hits = hits.unionByName(batch.select("id", "rank", "fp").join(spread, "fp").filter("first_rank < rank").select("id", "first"))
-        if past_hit is not None:
-            members = batch.select("id", "digest", "fp").join(nodes.join(past_hit, "node").select("digest", "fp", "first").withColumnsRenamed({"digest": "d", "fp": "f"}), F.col("digest").eqNullSafe(F.col("d")) & F.col("fp").eqNullSafe(F.col("f")))
-            hits = hits.unionByName(members.select("id", "first"))
-        refused = keep(hits.groupBy("id").agg(F.min("first").alias("first")), "refused")
-        self.add(accepted.select(F.col("node").alias("id"), "rank", "digest", "high", "low"))
+        if first is not None:
+            accepted = accepted.unionByName(first.select(*accepted.columns))
+
+        # the smallest accepted id that each one repeats, in the history or before it in the batch
+        now = accepted.select("digest", F.col("fp").alias("to"), F.struct("rank", F.col("node").alias("id")).alias("a"))
+        linked = seen.select("node", "digest").join(now.select("digest", "a"), "digest").select("node", "a")
+        linked = linked.unionByName(seen.select("node", "fp").join(links.withColumnRenamed("node", "fp"), "fp").join(now.select("to", "a"), "to").select("node", "a"))
+        groups = seen.join(linked.groupBy("node").agg(F.collect_set("a").alias("now")), "node", "left").select(F.col("digest").alias("d"), F.col("fp").alias("f"), "past", "now")
+        before = F.array_min(F.transform(F.filter("now", lambda a: a["rank"] < F.col("rank")), lambda a: a["id"]))
+        member = batch.join(groups, F.col("digest").eqNullSafe(F.col("d")) & F.col("fp").eqNullSafe(F.col("f")))
+        refused = keep(member.select("id", F.least("past", before).alias("first")).filter("first is not null"), "refused")
+        self.add(accepted.select(F.col("node").alias("id"), "digest", "high", "low"))
         return refused
 
+    @staticmethod
+    def _thin(open_: DataFrame, new: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """(accepted nodes, nodes still open): rounds for batches with a great many fingerprints of one screen.
+
+        While a window holds more than WINDOW open fingerprints, the nodes that come first in all their windows are accepted, and
+        each node is compared with the first ones of its windows only, so a window costs no more than its members. Rounds end
+        when they settle less than a share of what is open; what is left is compared by ``near_pairs``.
+        """
+        done, n = None, None
+        while True:
+            fps = open_.filter("fp is not null").select("fp").distinct()
+            wide = new.join(fps, "fp", "left_semi").groupBy("number", "key").count().filter(F.col("count") > WINDOW)
+            if wide.isEmpty():
+                return done, open_
+            keyed = keep(open_.select("*", F.explode(first_keys()["key"]).alias("key")), "keyed")
+            least = keyed.groupBy("key").agg(F.min("rank").alias("least"))
+            leads = keyed.join(least, "key").groupBy("node").agg(F.bool_and(F.col("rank") == F.col("least")).alias("leads")).filter("leads").select("node")
+            first = keep(keyed.join(leads, "node", "left_semi"), "leaders")
+            a, b = keyed.alias("a"), first.alias("b")
+            same = (F.col("a.digest") == F.col("b.digest")) | _near("a", "b")
+            gone = a.join(b, F.col("a.key") == F.col("b.key")).filter(same).select("a.node").distinct()
+            n = n or open_.count()
+            open_ = keep(open_.join(gone, "node", "left_anti"), "open")
+            one = first.drop("key").distinct()
+            done = one if done is None else done.unionByName(one)
+            left = open_.count()
+            if n - left < THINNED * n:
+                return done, open_
+            n = left
+
     def _settle(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
         """The nodes that repeat no accepted node before them.
 
