@@ -265,7 +265,7 @@ def default_screens() -> tuple[Screen, ...]:
          "tabs": {"items": [{"category": f"donation_{p}", "signals": ["Donation", p.capitalize()]} for p in ("daily", "weekly")]}},
         {"id": "strength_metrics", "title": "Strength Ranking", "priority": 20, "page_signals": ["Strength Ranking"],
          "tabs": {"items": [{"category": c, "signals": [c.capitalize()]} for c in ("power", "kills")]}},
-        {"id": "alliance_contribution", "title": "Alliance Contribution", "priority": 30, "page_signals": ["Alliance Contribution"],
+        {"id": "alliance_contribution", "title": "Alliance Contribution", "priority": 60, "page_signals": ["Alliance Contribution"],
          "tabs": {"items": season, "groups": {"category": {}, "period": {"strategy": "brightest", "min_fraction": 0.02}}}},
         {"id": "weekly_ranking", "title": "Weekly Rank", "priority": 40, "page_signals": ["Weekly Rank"], "negative_signals": [f"{s.capitalize()}." for s in DAYS.values()],
          "tabs": {"items": [{"category": "weekly", "signals": ["Weekly Rank"]}]}},

@@ -38,8 +38,9 @@ def leaderboard(players: DataFrame, order: list[str] | None = None) -> DataFrame
     ).drop("part", "local", "before")
 
 
-def response(players: DataFrame) -> DataFrame:
-    """(category, entries): the players of each category as a JSON array in order; null candidates are left out.
+def response(players: DataFrame, *by: str) -> DataFrame:
+    """(category, entries): the players of each category as a JSON array in order; null candidates are left out. With ``by``,
+    for each of its values.
 
     A category's array is one value, as the service's answer for one batch of images has it; for tables without such a
     bound use ``leaderboard``.
@@ -47,7 +48,7 @@ def response(players: DataFrame) -> DataFrame:
     entry = F.struct("player_name", "score", *(["candidates"] if "candidates" in players.columns else []))
     known = players.filter(F.col("category").isin(list(CATEGORIES)))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("image_id", "anchor_ord", entry.alias("e")))), lambda r: r["e"])
-    return known.groupBy("category").agg(F.to_json(rows).alias("entries"))
+    return known.groupBy(*by, "category").agg(F.to_json(rows).alias("entries"))
 
 
 def totals(players: DataFrame) -> DataFrame:

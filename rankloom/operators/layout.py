@@ -5,30 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MOST_PIXELS, SEPARATOR_PX
+from ..config import MOST_BYTES, MOST_PIXELS, SEPARATOR_PX
 
 
-def sub_batches(frames: DataFrame, most_pixels: int = MOST_PIXELS, separator: int = SEPARATOR_PX) -> DataFrame:
+def sub_batches(frames: DataFrame, most_pixels: int = MOST_PIXELS, separator: int = SEPARATOR_PX, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``frames`` (batch_id, image_seq, width, height) with group_pos, the place among the frames of its batch and size, and
     sub_batch, the first place of the slice that it is stitched in.
 
     A group that is too large is halved, the first half being the smaller one, until each slice fits or is one image.
     All frames of a group have one size, so the slices follow from their number: each frame walks down the halves alone.
+    Where frames have ``n_bytes``, the sizes of their files, a slice must also have no more than ``most_bytes`` of them;
+    the sum stands for the size of the stitched file. A null size counts as 0.
     """
     w = Window.partitionBy("batch_id", "width", "height")
     placed = frames.withColumn("group_pos", F.row_number().over(w.orderBy("image_seq")) - 1).withColumn("group_n", F.count("*").over(w))
+    sized = "n_bytes" in frames.columns
+    if sized:
+        placed = placed.withColumn("sizes", F.transform(F.array_sort(F.collect_list(F.struct("image_seq", F.coalesce("n_bytes", F.lit(0)).cast("bigint").alias("b"))).over(w)), lambda x: x["b"]))
+    weight = lambda at: F.aggregate(F.slice("sizes", (at["lo"] + 1).cast("int"), at["n"].cast("int")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     pixels = lambda n: (n * F.col("height") + (n - 1) * separator).cast("bigint") * F.col("width")
 
     def halve(at: Column, _: Column) -> Column:
         half = F.floor(at["n"] / 2)
-        fits = (pixels(at["n"]) <= most_pixels) | (at["n"] <= 1)
+        light = weight(at) <= most_bytes if sized else F.lit(True)
+        fits = ((pixels(at["n"]) <= most_pixels) & light) | (at["n"] <= 1)
         low = F.col("group_pos") < at["lo"] + half
         return F.when(fits, at).when(low, F.struct(at["lo"].alias("lo"), half.alias("n"))).otherwise(F.struct((at["lo"] + half).alias("lo"), (at["n"] - half).alias("n")))
 
     start = F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("group_n").cast("bigint").alias("n"))
     steps = F.ceil(F.log2(F.col("group_n").cast("double"))).cast("int") + 1
     slices = F.aggregate(F.sequence(F.lit(1), steps), start, halve)
-    return placed.withColumn("sub_batch", slices["lo"]).drop("group_n")
+    return placed.withColumn("sub_batch", slices["lo"]).drop("group_n", "sizes")
 
 
 def stitch_layout(frames: DataFrame, separator: int = SEPARATOR_PX) -> DataFrame:

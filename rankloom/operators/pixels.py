@@ -140,6 +140,56 @@ def png(pixels: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def from_png(content: bytes | None) -> np.ndarray | None:
+    """The pixels of a PNG file of eight bits a channel (grey, colour, either with alpha, or a palette); None for anything else."""
+    try:
+        if not content or content[:8] != b"\x89PNG\r\n\x1a\n":
+            return None
+        at, body, palette = 8, b"", None
+        while at < len(content):
+            n, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+            part_ = content[at + 8 : at + 8 + n]
+            if kind == b"IHDR":
+                w, h = int.from_bytes(part_[:4], "big"), int.from_bytes(part_[4:8], "big")
+                if part_[8] != 8 or part_[12]:
+                    return None
+                channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[part_[9]]
+            elif kind == b"PLTE":
+                palette = np.frombuffer(part_, np.uint8).reshape(-1, 3)
+            elif kind == b"IDAT":
+                body += part_
+            at += n + 12
+        rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
+        out, above = np.empty((h, w * channels), np.uint8), np.zeros(w * channels, np.uint8)
+        for y in range(h):
+            above = out[y] = _unfilter(int(rows[y, 0]), rows[y, 1:], above, channels)
+        a = out.reshape(h, w, channels)
+        if palette is not None and channels == 1:
+            return palette[a[:, :, 0]]
+        return np.repeat(a[:, :, :1], 3, axis=2) if channels < 3 else a[:, :, :3]
+    except (ValueError, KeyError, IndexError, UnboundLocalError, zlib.error):
+        return None
+
+
+def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    if kind == 0:
+        return row
+    if kind == 1:
+        return np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+    if kind == 2:
+        return row + above
+    given, up, out = row.tolist(), above.tolist(), [0] * len(row)
+    for i, v in enumerate(given):
+        left, over, corner = (out[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
+        if kind == 3:
+            out[i] = (v + (left + over) // 2) & 255
+        else:
+            near = left + over - corner
+            a, b, c = abs(near - left), abs(near - over), abs(near - corner)
+            out[i] = (v + (left if a <= b and a <= c else over if b <= c else corner)) & 255
+    return np.array(out, np.uint8)
+
+
 def stack(images: list[np.ndarray], separator: int) -> np.ndarray:
     """Images of one width below each other with black between them."""
     w = images[0].shape[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested", "names", "boards", "screens", "rasters")
+MODULES = ("nested", "names", "boards", "screens", "rasters", "batches", "settings")
 
 
 def _of(name: str) -> dict:
