@@ -79,12 +79,12 @@ class Reference:
         """All entries within the distance that their length allows, by the value or a part of it, with their distances."""
         return self.search(self.readings(text), MOST)
 
-    def closest(self, text: str) -> int | None:
-        """The entry at the least distance, the smallest one of equals; wider automata run only where narrower ones find nothing."""
+    def closest(self, text: str) -> tuple[int, int] | None:
+        """(entry, distance) at the least distance, the smallest one of equals; wider automata run only where narrower ones find nothing."""
         if readings := self.readings(text):
             for most in range(MOST + 1):
                 if found := self.search(readings, most):
-                    return min(found, key=lambda v: (found[v], v))
+                    return min(found.items(), key=lambda f: (f[1], f[0]))
         return None
 
 
@@ -100,8 +100,9 @@ def not_blank(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "") != ""
 
 
-def match(texts: DataFrame, roster: DataFrame, name: str = "player_name", member: str = "member_id") -> DataFrame:
-    """(value, n, member_id): the closest entry of the reference list for each row of (value, n), or -1.
+def match(texts: DataFrame, roster: DataFrame, name: str = "player_name", member: str = "member_id", every: bool = False) -> DataFrame:
+    """(value, n, member_id, errors): the closest entry of the reference list for each row of (value, n), or -1 and null. With ``every``, all
+    entries within the distance that their length allows, and no row for a value without any.
 
     The list is held in each worker as tries, so it may have at most REFERENCE_ROWS rows; a longer one is refused.
     Null and blank entries are no entries; of a name that is there twice the smallest id counts.
@@ -118,10 +119,17 @@ def match(texts: DataFrame, roster: DataFrame, name: str = "player_name", member
         if not built:
             built.append(Reference(entries.value))
         for batch in batches:
-            ids = [-1 if (m := built[0].closest(t)) is None else m for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64())], names=["value", "n", "member_id"])
+            at, ids, errors = [], [], []
+            for i, t in enumerate(batch.column(0).to_pylist()):
+                found = built[0].within(t) if every else {-1: None} if (c := built[0].closest(t)) is None else dict([c])
+                for m, e in sorted(found.items()):
+                    at.append(i)
+                    ids.append(m)
+                    errors.append(e)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(ids, pa.int64()), pa.array(errors, pa.int32())], names=["value", "n", "member_id", "errors"])
 
-    return texts.select("value", "n").mapInArrow(run, "value string, n bigint, member_id bigint")
+    return texts.select("value", "n").mapInArrow(run, "value string, n bigint, member_id bigint, errors int")
 
 
 def to_members(entries: DataFrame, roster: DataFrame, name: str = "player_name") -> DataFrame:
@@ -137,9 +145,20 @@ def to_members(entries: DataFrame, roster: DataFrame, name: str = "player_name")
     return join_to_unique(other, found, "value", "n", entries.count()).select("entry_id", "cand_ord", "member_id")
 
 
+def within(entries: DataFrame, roster: DataFrame, name: str = "player_name") -> DataFrame:
+    """(value, n, member_id, errors): for each distinct value, how often it is there, and every entry of the list within the distance
+    that its length allows, with that distance. Roster names themselves are among the values; values without an entry have no row."""
+    given = values(entries, name=name).filter(not_blank(F.col("value"))).groupBy("value").agg(F.count("*").alias("n"))
+    return match(spread(given, "value"), roster, name, every=True)
+
+
+def p3_within(spark: SparkSession, sf: str) -> DataFrame:
+    return within(spark.read.parquet(f"{sf}/player_entry.parquet"), spark.read.parquet(f"{sf}/roster.parquet"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return to_members(spark.read.parquet(f"{sf}/player_entry.parquet"), spark.read.parquet(f"{sf}/roster.parquet"))
 
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p3_found": p3_found, "p3_within": p3_within}
 SQL: dict[str, str] = {}

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,28 +105,37 @@ def make_plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], blo
 
 
 def measured(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
-    """(source, part, start, n, ids) of each document of a source with a target, kept in the shared folder: its ids, and the
-    place of the first one among the tokens of its source in the same input partition."""
+    """(source, file, part, start, n, ids) of each document of a source with a target, kept in the shared folder: its ids, and the
+    place of the first one among the tokens of its source in the same part of a file.
+
+    Documents have the order of their files and of their rows within them, which are read where they lie, so the mix doesn't
+    depend on how files are split or on the cluster. Tables that aren't read from files have the order of their partitions.
+    """
     spark = documents.sparkSession
     ready(spark)
     shared = vocabulary(spark, path)
     listed = broadcast_if_small(targets.select("source").filter("source is not null").distinct(), MOST_SOURCES)
-    given = documents.select("source", F.col("text").cast("string").alias("text")).filter("text <> ''").join(listed, "source", "left_semi")
+    columns = ["source", F.col("text").cast("string").alias("text")]
+    try:
+        given = documents.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"))
+    except AnalysisException:  # not read from files
+        given = documents.select(*columns, F.lit("").alias("file"), F.spark_partition_id().cast("bigint").alias("part"))
+    given = given.filter("text <> ''").join(listed, "source", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, used = TaskContext.get().partitionId(), defaultdict(int)
+        used: dict = defaultdict(int)
         for batch in batches:
             ids, n = shared.value.encode(batch.column(1).to_pylist())
             starts = []
-            for s, k in zip(batch.column(0).to_pylist(), n.tolist()):
-                starts.append(used[s])
-                used[s] += k
+            for *at, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), n.tolist()):
+                starts.append(used[tuple(at)])
+                used[tuple(at)] += k
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts, pa.int64()), pa.array(n), lists], names=["source", "part", "start", "n", "ids"]
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(starts, pa.int64()), pa.array(n), lists], names=["source", "file", "part", "start", "n", "ids"]
             )
 
-    return keep(given.mapInArrow(run, "source string, part int, start bigint, n bigint, ids array<int>"), "tokens")
+    return keep(given.select("source", "text", "file", "part").mapInArrow(run, "source string, file string, part bigint, start bigint, n bigint, ids array<int>"), "tokens")
 
 
 def prepare(documents: DataFrame, targets: DataFrame, total: int | None = None, path: str | None = None) -> tuple[DataFrame, Plan]:
@@ -200,10 +209,10 @@ def slots_of(spark: SparkSession, plan: Plan) -> DataFrame:
 def blocks_of(tokens: DataFrame, plan: Plan) -> DataFrame:
     """(source, block, ids) of every block that the mix uses; others aren't shuffled."""
     spark = tokens.sparkSession
-    parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("part_n"))
-    before = F.coalesce(F.sum("part_n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = broadcast_if_small(parts.select("source", "part", before.alias("offset")), 1_000_000)
-    placed = tokens.filter("n > 0").join(offsets, ["source", "part"]).withColumn("at", F.col("offset") + F.col("start"))
+    parts = tokens.groupBy("source", "file", "part").agg(F.sum("n").alias("part_n"))
+    before = F.coalesce(F.sum("part_n").over(Window.partitionBy("source").orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = broadcast_if_small(parts.select("source", "file", "part", before.alias("offset")))
+    placed = tokens.filter("n > 0").join(offsets, ["source", "file", "part"]).withColumn("at", F.col("offset") + F.col("start"))
     size = plan.block
     spans = F.sequence(F.expr(f"at div {size}"), F.expr(f"(at + n - 1) div {size}"))
 

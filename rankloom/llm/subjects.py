@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..arrow import ready
 
-#: Labelled documents that the lexicon and the model are fitted on, at most (those of least hash).
-FITTED = 5_000
+#: Labelled documents that the lexicon and the model are fitted on, at most (those of least hash), and characters of all of them.
+FITTED, FITTED_CHARS = 5_000, 256_000_000
 #: Rows up to which the list of subjects may grow.
 MOST_SUBJECTS = 1_000
 #: A term belongs to a subject that has at least this share of its documents, by so many documents.
@@ -284,15 +284,21 @@ def fit(rows: list[tuple[str, str, str, frozenset[str]]], names: list[str]) -> S
 
 
 def train(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Subjects:
-    """The model, fitted on the driver on at most FITTED labelled documents: those of least hash, the same in every run."""
+    """The model, fitted on the driver on at most FITTED labelled documents, and FITTED_CHARS of their texts: those of least hash, the
+    same in every run."""
     names = [r.subject for r in areas.select("subject").filter("trim(subject) <> ''").distinct().limit(MOST_SUBJECTS + 1).collect()]
     if len(names) > MOST_SUBJECTS:
         raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     by_hand = labels.filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     sample = by_hand.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTED)
     given = documents.select("doc_id", "text", "source", "applicant").join(F.broadcast(sample), "doc_id")
-    rows = [(r.text, r.source, r.applicant, frozenset(r.subjects)) for r in given.sort("doc_id").toLocalIterator()]
-    return fit(rows, names)
+    rows, chars = [], 0
+    for r in given.sort(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        chars += len(r.text or "")
+        if rows and chars > FITTED_CHARS:
+            break
+        rows.append((r.doc_id, r.text, r.source, r.applicant, frozenset(r.subjects)))
+    return fit([r[1:] for r in sorted(rows, key=lambda r: r[0])], names)
 
 
 def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:

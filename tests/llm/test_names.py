@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 
 from rankloom.llm.automaton import Automaton, Trie
-from rankloom.llm.canonical import Reference, paths, to_members, values
+from rankloom.llm.canonical import Reference, paths, to_members, values, within
 from rankloom.llm.characters import plain, skeleton
 from rankloom.llm.components import components
 from rankloom.llm.lookalike import rebuild, same_look
@@ -90,7 +90,14 @@ def test_to_members(spark, roster):
 def test_paths_and_all_entries_within_distance():
     assert paths("51 R5 [SaBr] Name") == ["51 R5 [SaBr] Name", "R5 [SaBr] Name", "[SaBr] Name", "Name"]
     assert Reference([(1, "Abcdefghi"), (2, "Abcdefghj"), (3, "Xyz")]).within("abcdefghk") == {1: 1, 2: 1}
-    assert Reference([(1, "Abcdefghi"), (2, "Abcdefghj")]).closest("abcdefghk") == 1
+    assert Reference([(1, "Abcdefghi"), (2, "Abcdefghj")]).closest("abcdefghk") == (1, 1)
+
+
+def test_all_entries_within_distance_against_brute_force(spark, roster):
+    names = ["Longername Here", "longernmae hre", "Captain12", "Captian13", "Feral", None, " ", "Feral Cobra", "feral cobras"]
+    df = spark.createDataFrame([(i, n, None, 1) for i, n in enumerate(names + names[:2])], ENTRIES)
+    got = {(r.value, r.n, r.member_id, r.errors) for r in within(df, roster).collect()}
+    assert got == {("Longername Here", 2, 8, 0), ("longernmae hre", 2, 8, 2), ("Captain12", 1, 3, 0), ("Captian13", 1, 4, 1), ("Feral Cobra", 1, 2, 0), ("feral cobras", 1, 2, 1)}
 
 
 NICKS = [("Mandi", "Solabaus"), ("Kray", "Krarikam"), ("Traelo", "Dekrind"), ("Trano", "Greitril")]

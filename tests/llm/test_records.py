@@ -135,3 +135,20 @@ def test_mix(spark):
     assert set(report) == {"big", "small", "gone", "unlisted", None} and report["gone"].share == 0 and report["unlisted"].target_share == 0
     assert abs(report["small"].share - 0.4) < 0.12 and sum(r.tokens for r in report.values()) == sum(r.n_tokens for r in got)
     assert mix(df.limit(0), t).count() == 0 and mix(df, t.limit(0)).count() == 0
+
+
+def test_mix_is_the_same_however_files_are_split(spark, tmp_path):
+    docs = [(i, f"word{i} " * (50 + i % 7), ("big", "small")[i % 3 == 0], "p" * 50) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, pad string").coalesce(1)
+    df.write.option("parquet.block.size", 16384).option("parquet.page.size", 4096).parquet(str(tmp_path / "docs"))
+    t = spark.createDataFrame([("big", 0.5, 2), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    got = []
+    for least in (8, 1):
+        spark.conf.set("spark.sql.files.minPartitionNum", least)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        d = spark.read.parquet(str(tmp_path / "docs"))
+        got.append((d.rdd.getNumPartitions(), sorted((r.shard, r.slot, r.source, r.block, r.ids) for r in mix(d, t).collect())))
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[0][1] == got[1][1] and got[0][1]
+    assert got[0][0] > got[1][0] == 1
