@@ -31,6 +31,7 @@ def day_labels() -> dict[str, str]:
     return {label: day for day, short in DAYS.items() for label in (short, f"{short}.", day)}
 
 
+# The defaults.
 @dataclass(frozen=True)
 class Hsv:
     """Bounds of a colour: hue between two values, saturation and brightness from one on."""
@@ -119,6 +120,7 @@ class ColumnDef:
     kind: str = "text"
 
 
+# The defaults.
 @dataclass(frozen=True)
 class ScoreAnchored:
     up_band_fraction: float = 0.021
@@ -131,6 +133,7 @@ class YProximity:
     min_tolerance_px: int = 20
 
 
+# The defaults.
 @dataclass(frozen=True)
 class RowClustering:
     """How words become rows: the band around a score, its least value, and the gap that is a space."""
@@ -151,6 +154,7 @@ class RowClustering:
         return max(self.min_word_gap_px, int(width * self.word_gap_fraction)) if width else 2 * self.min_word_gap_px
 
 
+# The defaults.
 @dataclass(frozen=True)
 class WindowDetection:
     near_black_max_channel: int = 20
@@ -160,6 +164,7 @@ class WindowDetection:
     bbox_padding_fraction: float = 0.02
 
 
+# The defaults.
 @dataclass(frozen=True)
 class RgbBounds:
     """Strict bounds on red and blue, inclusive ones on green."""
@@ -170,6 +175,7 @@ class RgbBounds:
     b_max: int = 90
 
 
+# The defaults.
 @dataclass(frozen=True)
 class Constants:
     window: WindowDetection = WindowDetection()

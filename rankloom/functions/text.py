@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import ALLIANCE_SUFFIXES, UI_LABELS, Constants, day_labels
 
+# What counts as white space, and the patterns of the functions below.
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WS = WS[1:-1]
 
@@ -89,7 +90,7 @@ def is_numeric_token(c: Column) -> Column:
 
 
 def parse_score(c: Column) -> Column:
-    """A whole number, with ``O``, ``l`` and ``I`` as digits and without commas and spaces; null if it isn't one or has more than 18 digits."""
+    """A whole number, with ``O``, ``l`` and ``I`` as digits and without commas and spaces; null if it isn't one or is beyond 2^63."""
     digits = strip(F.translate(c, "OlI, ", "011"))
     return F.when(digits.rlike("^[+-]?[0-9]+$"), digits.try_cast("bigint"))
 

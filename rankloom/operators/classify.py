@@ -65,6 +65,7 @@ def classify(words: DataFrame, tabs: DataFrame | None = None, screens: tuple[Scr
         s = s.withColumns({"strength_tab": none, "alliance_tab": none, "day_by_colour": none})
     else:
         s = s.join(tabs.select("image_id", "strength_tab", "alliance_tab", "day_by_colour"), "image_id", "left")
+    # The confidence of each rule.
     rules = [
         ("strength", F.col("is_strength"), F.coalesce("strength_tab", F.lit("power")), F.lit(1.0)),
         ("alliance", F.col("is_alliance"), F.col("alliance_tab"), F.when(F.col("alliance_tab").isNotNull(), 1.0).otherwise(0.0)),

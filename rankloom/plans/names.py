@@ -66,12 +66,11 @@ def crash_all_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def day_label(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/player_entry.parquet")
-    return e.filter("category is not null").groupBy(T.day_of_label(F.col("category")).alias("day")).agg(F.count("*").alias("n"))
+    return e.select("entry_id", T.day_of_label(F.col("category")).alias("day"))
 
 
 def ui_label(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/player_entry.parquet").filter("player_name is not null")
-    return e.groupBy(T.is_ui_label(F.col("player_name")).alias("label")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{sf}/player_entry.parquet").select("entry_id", T.is_ui_label(F.col("player_name")).alias("label"))
 
 
 def valid_players(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,8 +114,8 @@ SELECT image_id, ord, s.name AS name, s.score AS score FROM s WHERE s IS NOT NUL
 WITH s AS (SELECT image_id, ord, {D.splits('text')} AS l FROM ({_WORDS}) AS w),
 u AS (SELECT image_id, ord, unnest(range(len(l))) AS pos, unnest(l) AS s FROM s)
 SELECT image_id, ord, CAST(pos AS INTEGER) AS pos, s.name AS name, s.score_text AS score_text, s.score AS score FROM u""",
-    "day_label": f"SELECT {D.day('category')} AS day, count(*) AS n FROM player_entry WHERE category IS NOT NULL GROUP BY 1",
-    "ui_label": f"SELECT {D.ui_label('player_name')} AS label, count(*) AS n FROM player_entry WHERE player_name IS NOT NULL GROUP BY 1",
+    "day_label": f"SELECT entry_id, {D.day('category')} AS day FROM player_entry",
+    "ui_label": f"SELECT entry_id, {D.ui_label('player_name')} AS label FROM player_entry",
     "valid_players": f"""
 SELECT entry_id, {D.strip('player_name')} AS name, score FROM player_entry
 WHERE {D.strip('player_name')} <> '' AND score >= 1000 AND NOT {D.ui_label('player_name')}""",

@@ -30,7 +30,7 @@ def classify_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classify_captures(spark: SparkSession, sf: str) -> DataFrame:
-    return C.classify(P.words_flatten(spark, sf)).groupBy("category", "rule").agg(F.count("*").alias("n"))
+    return C.classify(P.words_flatten(spark, sf))
 
 
 def hsv_orange(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,14 +89,13 @@ def category_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def category_override(spark: SparkSession, sf: str) -> DataFrame:
-    players = extract_players(leaderboard(spark, sf))
-    return B.totals(B.with_category(players, None, "friday"))
+    return B.with_category(extract_players(leaderboard(spark, sf)).drop("candidates"), None, "friday")
 
 
 def batch_response(spark: SparkSession, sf: str) -> DataFrame:
     """The answer for one batch: words are classified, their players extracted and collected by category as JSON."""
     w = leaderboard(spark, sf)
-    classified = w.select("image_id").distinct().withColumn("category", F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.pmod("image_id", F.lit(4)) + 1).cast("int")))
+    classified = w.select("image_id").distinct().withColumn("category", F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.pmod("image_id", F.lit(len(CATEGORIES))) + 1).cast("int")))
     return B.response(B.with_category(extract_players(w).drop("candidates"), classified))
 
 
@@ -152,7 +151,7 @@ _KNOWN = ", ".join(repr(c) for c in CATEGORIES)
 SQL = {
     "classify_day_text": f"WITH {_rules(DAYS)} SELECT * FROM r",
     "classify_signals": f"WITH {_rules(f'SELECT image_id, unnest(string_split(words, chr(32))) AS text FROM ({SIGNALS}) AS s')} SELECT * FROM r",
-    "classify_captures": f"WITH {P.flat()}, {_rules('SELECT image_id, text FROM w')} SELECT category, rule, count(*) AS n FROM r GROUP BY ALL",
+    "classify_captures": f"WITH {P.flat()}, {_rules('SELECT image_id, text FROM w')} SELECT * FROM r",
     "hsv_orange": _HSV + "SELECT p_partkey, round(h, 9) AS h, round(s, 9) AS s, round(v, 9) AS v, h BETWEEN 0.014 AND 0.153 AND s >= 0.40 AND v >= 0.55 AS orange FROM h",
     "brightness_argmax_gap": f"""
 WITH m AS (SELECT p_brand, concat('t', p_partkey % 7) AS label, max(greatest(r, g, b) / CAST(255 AS DOUBLE)) AS v FROM ({COLOURS}) AS t GROUP BY ALL),
@@ -179,8 +178,8 @@ SELECT image_id, "left", top, "right", bottom FROM p WHERE "right" - "left" >= t
 SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY coalesce(capture_id, 0), entry_id) - 1 AS BIGINT) AS place, entry_id, player_name, score
 FROM player_entry WHERE category IN ({_KNOWN})""",
     "category_totals": "SELECT category, count(*) AS players, CAST(sum(score) AS BIGINT) AS score FROM player_entry GROUP BY category",
-    "category_override": f"WITH {P.board()} SELECT 'friday' AS category, count(*) AS players, CAST(sum(score) AS BIGINT) AS score FROM p",
+    "category_override": f"WITH {P.board()} SELECT image_id, anchor_ord, player_name, score, 'friday' AS category FROM p",
     "batch_response": f"""
-WITH {P.board()}, c AS (SELECT *, CASE image_id % 4 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES[:4]))} END AS category FROM p)
+WITH {P.board()}, c AS (SELECT *, CASE image_id % {len(CATEGORIES)} {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES))} END AS category FROM p)
 SELECT category, CAST(to_json(list({{'player_name': player_name, 'score': score}} ORDER BY image_id, anchor_ord)) AS VARCHAR) AS entries FROM c GROUP BY category""",
 }
