@@ -5,6 +5,7 @@ of the claims, of the first claim, of the title, the abstract or the description
 address line (no column has one), or the source - and gives one of a few outcomes for each subject. A latent model has, for each function, how often each
 outcome comes with a true and with a false subject; it is fitted by expectation and maximisation, in which the hand
 labels are one more function, as some of them are wrong. Documents get the subjects whose posterior is high enough.
+Where there are few labelled documents, the lexicon is learnt once more with others, of which the first model is sure.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.sql import functions as F
 
 from ..arrow import ready
 
-#: Labelled documents that the lexicon and the model are fitted on, at most (those of least hash), and characters of all of them.
+#: Documents that the lexicon and the model are fitted on, at most (the labelled ones of least hash, then others of least hash),
+#: and characters of all of them.
 FITTED, FITTED_CHARS = 5_000, 256_000_000
 #: Rows up to which the list of subjects may grow.
 MOST_SUBJECTS = 1_000
 #: A term belongs to a subject that has at least this share of its documents, by so many documents.
 PURITY, LEAST_DOCUMENTS = 0.5, 2
+#: Posterior of each of its subjects from which a document without labels teaches the lexicon.
+SURE = 0.9
 #: Posterior from which a subject is given; the likeliest is given from LEAST on.
 GIVEN, LEAST = 0.5, 0.1
 MOST_GIVEN = 2
@@ -283,22 +287,40 @@ def fit(rows: list[tuple[str, str, str, frozenset[str]]], names: list[str]) -> S
     return final
 
 
+def fit_with(rows: list[tuple[str, str, str, frozenset[str]]], others: list[tuple[str, str, str]], names: list[str]) -> Subjects:
+    """``fit``, then once more with those of ``others`` (text, source, applicant) of whose subjects the first model is sure."""
+    first = fit(rows, names)
+    at, x = first.outcomes([r[0] for r in others], [r[1] for r in others], [r[2] for r in others])
+    if not len(at):
+        return first
+    place = {s: k for k, s in enumerate(first.names)}
+    sure = [(*others[i], frozenset(chosen)) for i, chosen, p in zip(at, first.choose(x), first.posterior(x)) if chosen and all(p[place[s]] >= SURE for s in chosen)]
+    return fit([*rows, *sure], names) if sure else first
+
+
 def train(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Subjects:
-    """The model, fitted on the driver on at most FITTED labelled documents, and FITTED_CHARS of their texts: those of least hash, the
-    same in every run."""
+    """The model, fitted on the driver on at most FITTED documents, and FITTED_CHARS of their texts: the labelled ones of least hash and,
+    if these are fewer, others of least hash; the same in every run."""
     names = [r.subject for r in areas.select("subject").filter("trim(subject) <> ''").distinct().limit(MOST_SUBJECTS + 1).collect()]
     if len(names) > MOST_SUBJECTS:
         raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     by_hand = labels.filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    sample = by_hand.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTED)
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    sample = by_hand.filter("doc_id is not null").orderBy(*order).limit(FITTED)
+    labelled = sample.count()
+    if 0 < labelled < FITTED:
+        others = documents.select(F.col("doc_id").cast(by_hand.schema["doc_id"].dataType).alias("doc_id")).filter("doc_id is not null").join(by_hand, "doc_id", "left_anti")
+        sample = sample.unionByName(others.distinct().orderBy(*order).limit(FITTED - labelled), allowMissingColumns=True)
     given = documents.select("doc_id", "text", "source", "applicant").join(F.broadcast(sample), "doc_id")
     rows, chars = [], 0
-    for r in given.sort(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+    for r in given.sort(F.col("subjects").isNull(), *order).toLocalIterator():
         chars += len(r.text or "")
         if rows and chars > FITTED_CHARS:
             break
-        rows.append((r.doc_id, r.text, r.source, r.applicant, frozenset(r.subjects)))
-    return fit([r[1:] for r in sorted(rows, key=lambda r: r[0])], names)
+        rows.append((r.doc_id, r.text, r.source, r.applicant, r.subjects))
+    rows.sort(key=lambda r: r[0])
+    by_label = [(*r[1:4], frozenset(r[4])) for r in rows if r[4] is not None]
+    return fit_with(by_label, [r[1:4] for r in rows if r[4] is None], names)
 
 
 def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:

@@ -58,3 +58,16 @@ def test_operator(spark):
     assert not {900, 901, 902, 903} & set(by) and all(1 <= len(v) <= 2 for k, v in by.items() if k is not None)
     assert sum(by.get(i) == set(r[3]) for i, r in enumerate(train)) > 110
     assert S.assign(docs.limit(0), labels, areas).count() == 0 and S.assign(docs, labels.limit(0), areas).count() == 0
+
+
+def test_few_labels_with_others_that_have_none():
+    few, others, test = corpus(14, 8), corpus(400, 9), corpus(300, 10)
+
+    def right(model):
+        at, x = model.outcomes([r[0] for r in test], [r[1] for r in test], [None] * len(test))
+        given = dict(zip(at.tolist(), model.choose(x)))
+        return sum(set(given.get(i, [])) == set(r[3]) for i, r in enumerate(test)) / len(test)
+
+    alone, more = right(S.fit(few, list(WORDS))), right(S.fit_with(few, [r[:3] for r in others], list(WORDS)))
+    assert more > max(0.8, alone)
+    assert S.fit_with([], [], list(WORDS)).names == sorted(WORDS)
