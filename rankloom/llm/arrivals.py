@@ -112,12 +112,12 @@ def _near(a: str, b: str) -> Column:
     return bits <= MOST_BITS
 
 
-def near_pairs(new: DataFrame, old: DataFrame, *more: str) -> DataFrame:
+def near_pairs(new: DataFrame, old: DataFrame, *more: str, narrow: bool = True) -> DataFrame:
     """(node, other, and ``more`` columns of ``old``): near pairs of a new fingerprint and any one in the same window; both have
     fp, high, low, number, key.
 
     Windows of more than WINDOW fingerprints are narrowed by parts of the bits that their key leaves open.
-    Pairs found in several windows come several times.
+    Pairs found in several windows come several times. ``narrow`` is false where no window is known to be so wide.
     """
     out = None
 
@@ -127,7 +127,7 @@ def near_pairs(new: DataFrame, old: DataFrame, *more: str) -> DataFrame:
 
     for depth in range(1, DEPTH + 1):
         wide = None
-        if depth < DEPTH:
+        if narrow and depth < DEPTH:
             sizes = old.groupBy("number", "key").agg(F.count("*").alias("n")).filter(F.col("n") > WINDOW).drop("n")
             if not sizes.isEmpty():
                 wide = keep(sizes.join(new.select("number", "key").distinct(), ["number", "key"], "left_semi"), "wide")
@@ -254,7 +254,7 @@ class History:
         first, open_ = self._thin(open_, new)
         standing = open_.select("fp") if first is None else open_.select("fp").unionByName(first.select("fp"))
         windows = new.join(standing.filter("fp is not null").distinct(), "fp", "left_semi")
-        links = keep(near_pairs(new, windows).distinct(), "near").withColumnRenamed("other", "to")  # has each standing (fp, fp) itself
+        links = keep(near_pairs(new, windows, narrow=first is not None).distinct(), "near").withColumnRenamed("other", "to")  # has each standing (fp, fp) itself
         accepted = self._settle(open_, links)
         if first is not None:
             accepted = accepted.unionByName(first.select(*accepted.columns))
