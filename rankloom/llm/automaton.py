@@ -17,12 +17,17 @@ class Automaton:
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.moves: dict[tuple[int, int, int], tuple[int, int]] = {}
+        #: For each state, as bits, how many more letters than the word has from the base (plus ``shift``) an entry may still have.
+        self.reach: list[int] = []
+        self.shift = self.width + most + 1
         self.start = self._id(frozenset({(0, 0, 0)}))
 
     def _id(self, state: frozenset) -> int:
         if state not in self.number:
             self.number[state] = len(self.states)
             self.states.append(state)
+            more = {e - i - swap for i, errors, swap in state for e in range(errors - self.most, self.most - errors + 1)}
+            self.reach.append(sum(1 << m + self.shift for m in more))
         return self.number[state]
 
     def move(self, state: int, seen: int, left: int) -> tuple[int, int]:
@@ -67,20 +72,28 @@ class Trie:
     def __init__(self) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.values: list[set] = [set()]
+        #: For each node, as bits, how many letters the words below it still have.
+        self.rest: list[int] = [0]
 
     def add(self, word: str, value: object) -> None:
         at = 0
-        for c in word:
+        self.rest[0] |= 1 << len(word)
+        for i, c in enumerate(word):
             to = self.children[at].get(c)
             if to is None:
                 to = self.children[at][c] = len(self.children)
                 self.children.append({})
                 self.values.append(set())
+                self.rest.append(0)
             at = to
+            self.rest[at] |= 1 << len(word) - i - 1
         self.values[at].add(value)
 
     def search(self, word: str, automaton: Automaton) -> dict[object, int]:
-        """The values of all entries within the automaton's errors, with the least number of errors of each."""
+        """The values of all entries within the automaton's errors, with the least number of errors of each.
+
+        Branches of which no word has a length that the errors left allow aren't entered.
+        """
         found: dict[object, int] = {}
         n, width = len(word), automaton.width
         places: dict[str, int] = {}
@@ -89,6 +102,7 @@ class Trie:
         mask = (1 << width) - 1
         move, children, values = automaton.move, self.children, self.values
         moves, seen = automaton.moves, places.get
+        reach, rest, shift = automaton.reach, self.rest, automaton.shift
         stack = [(0, automaton.start, 0)]
         while stack:
             node, state, base = stack.pop()
@@ -107,5 +121,7 @@ class Trie:
                 if step is None:
                     step = move(*key)
                 if step[0] >= 0:
-                    stack.append((to, step[0], base + step[1]))
+                    at = base + step[1]
+                    if rest[to] << shift >> n - at & reach[step[0]]:
+                        stack.append((to, step[0], at))
         return found
