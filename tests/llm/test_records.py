@@ -152,3 +152,21 @@ def test_mix_is_the_same_however_files_are_split(spark, tmp_path):
     spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got[0][1] == got[1][1] and got[0][1]
     assert got[0][0] > got[1][0] == 1
+
+
+def test_shares_are_met_and_no_document_is_used_too_often(spark):
+    """The tokens of the mix turned back to text: a mark that each document has once, counted over all its uses."""
+    from rankloom.llm.tokens import vocabulary
+
+    rnd = random.Random(6)
+    docs = [(i, f" <{i}>" + "".join(f" word{rnd.randrange(999)}" for _ in range(rnd.randrange(20, 400))), "big" if i < 500 else "small") for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("big", 0.3, 1), ("small", 0.7, 4)], "source string, target_share double, max_repeats int")
+    text = {v: k for k, v in vocabulary(spark).value.ranks.items()}
+    used, tokens = Counter(), Counter()
+    for r in mix(df, t).collect():
+        tokens[r.source] += len(r.ids)
+        used.update(re.findall(r"<(\d+)>", b"".join(text[i] for i in r.ids).decode("utf-8", "replace")))
+    assert max(n for i, n in used.items() if int(i) < 500) == 1
+    assert max(n for i, n in used.items() if int(i) >= 500) == 4 and len(used) > 300
+    assert abs(tokens["small"] / sum(tokens.values()) - 0.7) < 0.02
