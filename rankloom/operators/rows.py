@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RowClustering
 from ..functions.text import crash_splits, held, is_numeric_token, strip
+from ..scratch import keep
 from .words import is_score
 
 # Fixed value: the height of an image that isn't known.
@@ -35,9 +36,9 @@ def row_members(words: DataFrame, height: Column | int = 2400, rows: RowClusteri
     A score's row has all words that are no scores and whose centre is at most one band above or another below its own,
     bounds included; a word may be in several rows. The score itself is in its row, after words of the same place.
     Each image is cut into strips as high as a band, so a score meets the words of two strips and not of its whole image.
-    A null height counts as UNKNOWN_HEIGHT.
+    A null height counts as UNKNOWN_HEIGHT. The words are kept in the shared folder once, as they are read three times.
     """
-    flagged = held(words, is_score=is_score(F.col("text"), rows.min_score))
+    flagged = keep(held(words, is_score=is_score(F.col("text"), rows.min_score)), "words")
     up, down = _bands(height, rows)
     strip_of = lambda y: F.floor(y / (up + down))
     anchors = flagged.filter("is_score").select("image_id", F.col("ord").alias("anchor_ord"), (F.col("avg_y") - up).alias("from_y"), (F.col("avg_y") + down).alias("to_y"), F.explode(F.sequence(strip_of(F.col("avg_y") - up), strip_of(F.col("avg_y") + down))).alias("strip"))
