@@ -25,10 +25,18 @@ def join_to_unique(rows: DataFrame, unique: DataFrame, key: str, n: str, total:
     cold = unique.filter(F.col(n) < limit)
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
-#: Rows up to which a reference table is broadcast; a larger one is shuffled.
-REFERENCE_ROWS = 100_000
+
+#: Rows, and bytes of them as text, up to which a reference table is broadcast; a larger one is shuffled.
+REFERENCE_ROWS, REFERENCE_BYTES = 100_000, 64 << 20
+
+
+def is_small(df: DataFrame, most: int = REFERENCE_ROWS, bytes_: int = REFERENCE_BYTES) -> bool:
+    """Whether ``df`` has at most ``most`` rows and ``bytes_`` bytes of text, found by one pass over no more rows than that."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    found = df.limit(most + 1).agg(F.count("*").alias("n"), size.alias("size")).first()
+    return found.n <= most and (found["size"] or 0) <= bytes_
 
 
 def broadcast_if_small(df: DataFrame, most: int = REFERENCE_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` with a broadcast hint if its rows and bytes, once counted, are few."""
+    return F.broadcast(df) if is_small(df, most) else df

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from rankloom.operators import pixels as X
+from rankloom.operators.skew import is_small
 from rankloom.plans.batches import drawn, reader
 from rankloom.plans.pipeline import process_batch
 from rankloom.scratch import shared_dir
@@ -98,3 +99,8 @@ def test_no_folder_of_the_driver_on_a_cluster():
     conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_only_tables_of_few_rows_and_bytes_are_broadcast(spark):
+    df = spark.range(10).selectExpr("id", "repeat('x', 100) as text")
+    assert is_small(df) and not is_small(df, 9) and not is_small(df, 10, 1000) and is_small(df.limit(0))
