@@ -114,8 +114,14 @@ def read_name(name: str, names: GivenNames) -> list[tuple[str, str]]:
 
 
 def _split(word: str, names: GivenNames) -> tuple[str, str]:
-    """A joined name, parted where a given name begins or ends."""
+    """A joined name, parted where a given name begins or ends: a known one if there is one, else one that is misspelt."""
     best = None
+    for i in range(2, len(word) - 1):
+        for given, family in ((word[:i], word[i:]), (word[i:], word[:i])):
+            if len(family) >= 2 and given in names.exact and (best is None or -len(given) < best[0][1]):
+                best = ((0, -len(given)), (names.exact[given], family))
+    if best:
+        return best[1]
     for i in range(2, len(word) - 1):
         for given, family in ((word[:i], word[i:]), (word[i:], word[:i])):
             if len(family) >= 2 and (hit := names.find(given)):
