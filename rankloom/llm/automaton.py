@@ -96,6 +96,8 @@ class Trie:
         """
         found: dict[object, int] = {}
         n, width = len(word), automaton.width
+        if n > self.rest[0].bit_length() - 1 + automaton.most:  # longer than any word by more than that
+            return found
         places: dict[str, int] = {}
         for i, c in enumerate(word):
             places[c] = places.get(c, 0) | 1 << i

@@ -28,8 +28,9 @@ from .components import components
 #: Edit distance within which two full names are one, and the least letters of a family name for it; 1 below that.
 RADIUS, LONG_FAMILY = 2, 6
 #: Pivots, and names of which they are chosen, at least and at most: pivots grow with the root of the largest server's
-#: names, so that neither the distances to pivots nor the cells grow faster than that.
+#: names, so that neither the distances to pivots nor the cells grow faster than that. LONGEST letters for a pivot.
 PIVOTS, SAMPLE = (16, 512), (600, 2048)
+LONGEST = 256
 VOWELS = "aeiou"
 #: Words that a task remembers the given names of.
 MEMO = 200_000
@@ -44,6 +45,7 @@ class GivenNames:
             self.exact[full.lower()] = full.lower()
         for nick, full in pairs:
             self.exact.setdefault(nick.lower(), full.lower())
+        self.longest = max(map(len, self.exact), default=0)
         self.givens = set(self.exact.values())
         self.trie = Trie()
         for word, full in self.exact.items():
@@ -115,19 +117,17 @@ def read_name(name: str, names: GivenNames) -> list[tuple[str, str]]:
 
 def _split(word: str, names: GivenNames) -> tuple[str, str]:
     """A joined name, parted where a given name begins or ends: a known one if there is one, else one that is misspelt."""
+    # no longer beginning or end can be a given name, so a very long word costs no more than another
+    parts = [p for i in range(min(len(word) - 2, names.longest + 2), 1, -1) for p in ((word[:i], word[i:]), (word[-i:], word[:-i]))]
+    for given, family in parts:
+        if given in names.exact:
+            return names.exact[given], family
     best = None
-    for i in range(2, len(word) - 1):
-        for given, family in ((word[:i], word[i:]), (word[i:], word[:i])):
-            if len(family) >= 2 and given in names.exact and (best is None or -len(given) < best[0][1]):
-                best = ((0, -len(given)), (names.exact[given], family))
-    if best:
-        return best[1]
-    for i in range(2, len(word) - 1):
-        for given, family in ((word[:i], word[i:]), (word[i:], word[:i])):
-            if len(family) >= 2 and (hit := names.find(given)):
-                rank = (hit[1], -len(given))
-                if best is None or rank < best[0]:
-                    best = (rank, (hit[0], family))
+    for given, family in parts:
+        if hit := names.find(given):
+            rank = (hit[1], -len(given))
+            if best is None or rank < best[0]:
+                best = (rank, (hit[0], family))
     return best[1] if best else ("", word)
 
 
@@ -136,7 +136,7 @@ def consonants(word: str) -> str:
 
 
 #: Words of two letters or more that end in a full stop: an abbreviation, if it is the family name.
-_CUT = re.compile(r"([^\W\d_]{2,})\.(?!\w)")
+_CUT = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,})\.(?!\w)")
 _READ = "server_id bigint, name string, n bigint, kind string, given string, family string, text string"
 
 
@@ -223,7 +223,8 @@ def choose_pivots(points: DataFrame, keys: tuple[str, ...] = ("server_id",)) ->
         return []
     wanted = min(PIVOTS[1], max(PIVOTS[0], 1 << round(math.log2(most) / 2)))
     sample = min(SAMPLE[1], max(SAMPLE[0], 4 * wanted))
-    names = [r.text for r in points.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
+    # very long names are no pivots, as the driver compares them with each other; any text may be one
+    names = [r.text for r in points.select("text").filter(F.length("text") <= LONGEST).distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()] or [""]
     pivots, far = [names[0]], [edit_distance(names[0], x) for x in names]
     while len(pivots) < wanted and max(far) > 2 * RADIUS:
         p = names[max(range(len(names)), key=far.__getitem__)]
@@ -254,7 +255,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int, pivots: list[str
     """
     a = cells(spread(left, *keys, "text"), pivots, radius).select(*keys, "text", F.inline("cells")).filter("home").select(*keys, "text", "cell")
     b = cells(spread(right, *keys, "text"), pivots, radius).hint("merge").select(*keys, F.col("text").alias("other"), F.inline("cells")).select(*keys, "other", "cell")
-    distance = F.levenshtein("text", "other", radius)
+    distance = F.when(F.col("text") == F.col("other"), 0).otherwise(F.levenshtein("text", "other", radius))
     return a.join(b, [*keys, "cell"]).withColumn("distance", distance).filter("distance >= 0").select(*keys, "text", "other", "distance")
 
 
@@ -274,7 +275,8 @@ def words_agree(text: str, other: str) -> Column:
     for k in (1, -1):
         a, b = F.substring_index(text, " ", k), F.substring_index(other, " ", k)
         n = F.least(F.length(a), F.length(b))
-        out = out & (F.levenshtein(a, b) <= F.when(n >= LONG_FAMILY, 2).when(n >= 4, 1).otherwise(0))
+        distance = F.when(a == b, 0).otherwise(F.levenshtein(a, b, RADIUS))  # -1 beyond the radius
+        out = out & distance.between(0, F.when(n >= LONG_FAMILY, RADIUS).when(n >= 4, 1).otherwise(0))
     return out
 
 

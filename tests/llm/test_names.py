@@ -112,6 +112,16 @@ def test_readings_of_typed_names():
     assert read_name("K. Thousmonas", n) == [("k", "thousmonas")] and read_name("!", n) == [] and read_name("word", n) == [("", "word")]
 
 
+def test_very_long_names(spark, roster):
+    long = "krarikam" + "x" * 20_000
+    n = GivenNames(NICKS)
+    assert read_name(long, n) == [("krarikam", "x" * 20_000)] and read_name("y" * 20_000, n) == [("", "y" * 20_000)]
+    df = spark.createDataFrame([(1, long, 7, "typed"), (2, "Krarikam " + "x" * 20_000, 7, "typed"), (3, "z" * 9000, 7, "typed")], "entry_id long, player_name string, server_id int, entry_mode string")
+    assert [tuple(r) for r in variants(df, spark.createDataFrame(NICKS, "nick string, full_given string")).collect()] == [(1, 2)]
+    e = spark.createDataFrame([(1, long, None, 1), (2, "Feral " * 5_000, None, 1)], ENTRIES)
+    assert {r.member_id for r in to_members(e, roster).collect()} == {-1} and within(e, roster).count() == 0
+
+
 def test_variants(spark):
     same = ["Krarikam Thousmonas", "thousmonas, krarikam", "K. Thousmonas", "Kray Thsmns", "KrarikamThousmnas", "Krarikam Thousmonas"]
     other = ["Solabaus Thousmonas", "Krarikam Gritigeind"]
