@@ -47,3 +47,8 @@ def test_a_batch_keeps_few_bytes_at_once(spark, monkeypatch):
     assert players.count() == 45 * 3
     column = next(c for c in ("packed", "data") if c in pq.ParquetFile(glob.glob(f"{folders[0]}/*.parquet")[0]).schema_arrow.names)
     assert most_bytes(folders[0], column) <= 16 << 20
+
+
+def test_answers_draw_no_image_again(spark, sf):
+    plan = batches.batch_answers(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
