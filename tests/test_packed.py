@@ -5,6 +5,7 @@ import glob
 import numpy as np
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import pytest
 
 from rankloom import scratch
 from rankloom.operators import pixels as X
@@ -38,12 +39,13 @@ def test_packed_pixels_come_back(spark):
     assert got[1].hash != got[5].hash  # the same bytes in another shape are another image
 
 
-def test_a_batch_keeps_few_bytes_at_once(spark, monkeypatch):
+@pytest.mark.parametrize("override", [None, "friday"])
+def test_a_batch_keeps_few_bytes_at_once(spark, monkeypatch, override):
     """60 screens in one partition: 19 MB of pixels, which a reader took at once."""
     folders = []
     monkeypatch.setattr(pipeline, "keep", lambda df, name, **k: (kept := scratch.keep(df, name, **k), folders.append(scratch._written[spark.sparkContext.applicationId][-1][7:]))[0])
     rows = [(0, k, *a.shape, X.as_bytes(a)) for k in range(60) for a in [batches.drawn(k)]]
-    players = pipeline.process_batch(spark.createDataFrame(rows, f"batch_id long, image_seq long, {FIELDS}").coalesce(1), batches.reader, stretch=False)
+    players = pipeline.process_batch(spark.createDataFrame(rows, f"batch_id long, image_seq long, {FIELDS}").coalesce(1), batches.reader, override=override, stretch=False)
     assert players.count() == 45 * 3
     column = next(c for c in ("packed", "data") if c in pq.ParquetFile(glob.glob(f"{folders[0]}/*.parquet")[0]).schema_arrow.names)
     assert most_bytes(folders[0], column) <= 16 << 20
