@@ -9,7 +9,8 @@ import pytest
 
 from rankloom import scratch
 from rankloom.operators import pixels as X
-from rankloom.plans import batches, pipeline
+from rankloom.operators import tabs
+from rankloom.plans import batches, pipeline, rasters
 
 FIELDS = "height int, width int, nChannels int, data binary"
 
@@ -54,3 +55,11 @@ def test_a_batch_keeps_few_bytes_at_once(spark, monkeypatch, override):
 def test_answers_draw_no_image_again(spark, sf):
     plan = batches.batch_answers(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_drawn_screens_are_packed_and_kept_once_in_many_tasks(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(tabs, "keep", lambda df, name, **k: (names.append((name, df.rdd.getNumPartitions())), scratch.keep(df, name, **k))[1])
+    words, images = rasters._draw(spark.range(60).withColumnRenamed("id", "image_id").coalesce(1))
+    tabs.all_tabs(words, images)
+    assert [n for n, _ in names] == ["images", "colours"] and names[0][1] > 4
