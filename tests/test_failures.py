@@ -69,3 +69,10 @@ def test_queries_end_where_the_engine_fails(spark, sf, monkeypatch, query):
     monkeypatch.setattr(batches, "reader", engine_that("raises"))
     with pytest.raises(RuntimeError, match="quota exceeded"):
         batches.QUERIES[query](spark, sf)
+
+
+@pytest.mark.parametrize("how", ["raises", "refuses"])
+def test_totals_of_an_override_do_not_come_without_the_images_that_failed(spark, sf, monkeypatch, how):
+    monkeypatch.setattr(batches, "reader", engine_that(how))
+    with pytest.raises(RuntimeError, match=r"the engine failed on \d+ of \d+ stitched images: batch 0, 288 x 480"):
+        batches.QUERIES["process_batch_override"](spark, sf)
